@@ -90,10 +90,13 @@ def rule_table(docs: DataFrame) -> DataFrame:
 
 
 def features(stats: dict[str, np.ndarray]) -> np.ndarray:
-    """Ratios only, so that long texts are not odd for their length; digits are left out, since numbers are no fault."""
+    """Ratios only, so that long texts are not odd for their length; digits are left out, since numbers are no fault.
+
+    Repetition counts in halves, since a little of it is ordinary.
+    """
     v = {k: x.astype(np.float64) for k, x in stats.items()}
     words, chars, rows = (np.maximum(v[k], 1) for k in ("n_words", "word_chars", "n_lines"))
-    return np.column_stack([v["n_symbols"] / chars, v["n_dup_lines"] / rows, v["n_repeat_words"] / words, v["n_upper"] / chars])
+    return np.column_stack([v["n_symbols"] / chars, np.floor(2 * v["n_dup_lines"] / rows), np.floor(2 * v["n_repeat_words"] / words), v["n_upper"] / chars])
 
 
 def base_failed(stats: dict[str, np.ndarray]) -> np.ndarray:
