@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import isolation
+from . import isolation, lsh_forest
 from .shared import written
 
 
@@ -21,11 +21,45 @@ def op6_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.judge(table, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 9).alias("score"))
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+#: Exact: every pair of different shingle sets that shares a shingle is compared.
+OP7_SQL = r"""
+WITH RECURSIVE lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM lowered
+), classes AS (
+  SELECT list_sort(s) AS key, min(doc_id) AS rep, any_value(len(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY 1
+), inverted AS (
+  SELECT rep, n, unnest(key) AS e FROM classes
+), links AS (
+  SELECT a.rep AS u, b.rep AS v FROM inverted a JOIN inverted b ON a.e = b.e AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT rep AS node, rep AS seen FROM classes
+  UNION
+  SELECT r.node, b.v FROM reach r JOIN both_ways b ON r.seen = b.u
+), named AS (
+  SELECT node AS rep, min(seen) AS component_id FROM reach GROUP BY node
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(n.component_id, s.doc_id) AS component_id,
+  s.doc_id = coalesce(n.component_id, s.doc_id) AS kept
+FROM sets s LEFT JOIN classes c ON list_sort(s.s) = c.key AND len(s.s) > 0 LEFT JOIN named n ON n.rep = c.rep
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_isolation_rules": op6_isolation_rules,
+        "op7_lsh_forest": op7_lsh_forest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_lsh_forest": OP7_SQL}

@@ -94,7 +94,7 @@ def grouped_stream(df: DataFrame, key: str, handle: Callable[[list[dict]], Itera
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow_schema = to_arrow_schema(_parse_datatype_string(schema), timezone="UTC")
+    arrow_schema = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[dict] = []
