@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import isolation, lsh_forest
+from . import isolation, kneser_ney, lsh_forest
 from .shared import written
 
 
@@ -15,6 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Quantile of the trusted documents of a language, and room above it, in log10 of the perplexity for a byte.
+OP2_QUANTILE, OP2_SLACK = 0.995, 0.2
+
+
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = written(kneser_ney.perplexities(docs, kneser_ney.fit(docs, labels)), "perplexity")
+    out = kneser_ney.judge(scored, kneser_ney.thresholds(scored, labels, OP2_QUANTILE, OP2_SLACK))
+    return out.select("doc_id", "lang", "n_symbols", F.round(F.pow(F.lit(10.0), "log_ppl"), 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
+
+
 def op6_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = written(isolation.rule_table(_table(spark, sf_dir, "documents")), "rules")
     model = isolation.fit(table, _table(spark, sf_dir, "labels"))
@@ -56,6 +67,7 @@ FROM sets s LEFT JOIN classes c ON list_sort(s.s) = c.key AND len(s.s) > 0 LEFT
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_kneser_ney": op2_kneser_ney,
         "op6_isolation_rules": op6_isolation_rules,
         "op7_lsh_forest": op7_lsh_forest,
     }
