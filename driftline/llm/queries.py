@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Quantile of the trusted documents of a language, and room above it, in log10 of the perplexity for a byte.
-OP2_QUANTILE, OP2_SLACK = 0.995, 0.2
+OP2_QUANTILE, OP2_SLACK = 0.995, 0.1
 
 
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
