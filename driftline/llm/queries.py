@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import isolation, kneser_ney, lsh_forest
+from . import hmm, isolation, kneser_ney, lsh_forest
 from .shared import written
 
 
@@ -65,11 +65,16 @@ FROM sets s LEFT JOIN classes c ON list_sort(s.s) = c.key AND len(s.s) > 0 LEFT
 """
 
 
+def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_scores(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_kneser_ney": op2_kneser_ney,
         "op6_isolation_rules": op6_isolation_rules,
         "op7_lsh_forest": op7_lsh_forest,
+        "op9_hidden_markov": op9_hidden_markov,
     }
 
 
