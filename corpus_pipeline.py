@@ -1,12 +1,65 @@
-"""Corpus pipeline: quality rules, quality classifier, near-dedup, decontamination, byte-level BPE."""
+"""Corpus pipeline: quality rules, quality classifier, near-dedup, decontamination, byte-level BPE.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that its
+predecessor kept, and returns documents' own columns; the last returns the
+encoded documents.  Each result is written as Parquet and read again as the
+next stage's documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from driftline.llm import bpe, isolation, kneser_ney, lsh_forest, tiling
+from driftline.llm.queries import OP2_QUANTILE, OP2_SLACK
+from driftline.llm.shared import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that neither the base rules nor the isolation forest reject."""
+    table = written(isolation.rule_table(docs), "rules")
+    return isolation.keep_rows(docs, isolation.fit(table, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose perplexity is within their language's threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = kneser_ney.fit(docs, labels)
+    scored = written(kneser_ney.perplexities(docs, model), "perplexity")
+    return kneser_ney.keep_rows(docs, model, kneser_ney.thresholds(scored, labels, OP2_QUANTILE, OP2_SLACK))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least doc_id of each group of near copies."""
+    gone = lsh_forest.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold half of a benchmark item or more."""
+    return tiling.keep_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the bytes decoded from them."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
+
+#: SQL cannot express the forest, the language model or the encoder; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, isolation, kneser_ney, lsh_forest
+from . import bpe, hmm, isolation, kneser_ney, lsh_forest, tiling
 from .shared import written
 
 
@@ -26,6 +27,15 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "n_symbols", F.round(F.pow(F.lit(10.0), "log_ppl"), 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
 
 
+def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tiling.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.withColumn("coverage", F.round("coverage", 9))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = written(isolation.rule_table(_table(spark, sf_dir, "documents")), "rules")
     model = isolation.fit(table, _table(spark, sf_dir, "labels"))
@@ -72,6 +82,8 @@ def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_kneser_ney": op2_kneser_ney,
+        "op3_string_tiling": op3_string_tiling,
+        "op4_byte_bpe": op4_byte_bpe,
         "op6_isolation_rules": op6_isolation_rules,
         "op7_lsh_forest": op7_lsh_forest,
         "op9_hidden_markov": op9_hidden_markov,
