@@ -173,15 +173,17 @@ def keep_rows(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold:
     spark = docs.sparkSession
     short_batches(spark)
     for block in blocks(benchmark, least, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
+        docs = docs.where(_clean(spark.sparkContext.broadcast(block), least, threshold)(F.col("text").cast("string")))
+    return docs
 
-        @F.arrow_udf("boolean")
-        def clean(column: pa.Array, shared=shared) -> pa.Array:
-            out = np.ones(len(column), bool)
-            for i, _, texts in binary_chunks(column):
-                for doc, _, _ in matches(texts, shared.value, least, threshold):
-                    out[i + doc] = False
-            return pa.array(out)
 
-        docs = docs.where(clean(F.col("text").cast("string")))
-    return docs
+def _clean(shared, least: int, threshold: float):
+    @F.arrow_udf("boolean")
+    def clean(column: pa.Array) -> pa.Array:
+        out = np.ones(len(column), bool)
+        for i, _, texts in binary_chunks(column):
+            for doc, _, _ in matches(texts, shared.value, least, threshold):
+                out[i + doc] = False
+        return pa.array(out)
+
+    return clean
