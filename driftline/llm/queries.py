@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, isolation, kneser_ney, lsh_forest, tiling
+from . import bpe, histogram_sort, hmm, isolation, kneser_ney, lsh_forest, tiling, url_gbt
 from .shared import written
 
 
@@ -36,6 +36,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("text_hash"))
+    out = histogram_sort.shards(rows, 24, "doc_id", "size", "text_hash")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = written(isolation.rule_table(_table(spark, sf_dir, "documents")), "rules")
     model = isolation.fit(table, _table(spark, sf_dir, "labels"))
@@ -79,14 +87,25 @@ def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.language_scores(_table(spark, sf_dir, "documents"))
 
 
+#: Rules of the contract: verdict and host/path.
+OP10_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op10_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_gbt.filter_urls(_table(spark, sf_dir, "pages"), OP10_RULES)
+    return out.withColumn("block_probability", F.round("block_probability", 9))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_kneser_ney": op2_kneser_ney,
         "op3_string_tiling": op3_string_tiling,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_histogram_sort": op5_histogram_sort,
         "op6_isolation_rules": op6_isolation_rules,
         "op7_lsh_forest": op7_lsh_forest,
         "op9_hidden_markov": op9_hidden_markov,
+        "op10_boosted_urls": op10_boosted_urls,
     }
 
 
