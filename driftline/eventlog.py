@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, StringType, TimestampType
+from pyspark.sql.types import IntegralType, StringType, TimestampNTZType, TimestampType
 
 EVENT_COLUMNS = ("log_id", "case_id", "case_idx", "evt_idx", "activity")
 
@@ -21,7 +21,7 @@ def _bucket(df: DataFrame, column: str) -> Column:
     kind = df.schema[column].dataType
     if isinstance(kind, IntegralType):
         return F.floor(F.col(column) / 65536)
-    if isinstance(kind, TimestampType):
+    if isinstance(kind, TimestampType | TimestampNTZType):
         return F.date_trunc("hour", column)
     if isinstance(kind, StringType):
         return F.substring(column, 1, 3)
@@ -48,8 +48,8 @@ def from_table(df: DataFrame, case: str, activity: Column | str, order_by: Seque
     """Events of a flat table; cases are numbered by `case_order` (default: the case key itself)."""
     activity = F.col(activity) if isinstance(activity, str) else activity
     keys = list(case_order or [case])
-    cases = numbered(df.groupBy(case).agg(*(F.min(k).alias(k) for k in keys if k != case)).withColumn("log_id", F.lit(log_id)), ["log_id"], [*keys, *([case] if case not in keys else [])], "case_idx")
-    extra = [F.col(c).alias(n) for c, n in ((ts, "ts"), (start_ts, "start_ts")) if c]
+    cases = numbered(df.groupBy(case).agg(*(F.min(k).alias(k) for k in keys if k != case), F.count("*").alias("_n")).drop("_n").withColumn("log_id", F.lit(log_id)), ["log_id"], [*keys, *([case] if case not in keys else [])], "case_idx")
+    extra = [F.col(c).cast("timestamp").alias(n) for c, n in ((ts, "ts"), (start_ts, "start_ts")) if c]
     place = F.row_number().over(Window.partitionBy(case).orderBy(*order_by)) - 1
     flat = df.select(F.col(case).alias("_case"), place.cast("long").alias("evt_idx"), activity.alias("activity"), *extra)
     out = flat.join(cases.select(F.col(case).alias("_case"), "log_id", "case_idx"), "_case")

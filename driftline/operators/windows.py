@@ -12,6 +12,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from driftline.functions import stats
 
@@ -59,17 +60,17 @@ def chi2_statistic(counts: DataFrame) -> DataFrame:
     return sums.select(*KEYS, "pos", F.when(F.col("dof") == 1, F.col("yates")).otherwise(F.col("plain")).alias("chi2"), "dof")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ks_p(n: pd.Series, h: pd.Series) -> pd.Series:
     return pd.Series([stats.ks_equal(int(a), int(b)) for a, b in zip(n, h, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _mw_p(n: pd.Series, u: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([stats.mw_from_u(b, int(a), int(a), c) for a, b, c in zip(n, u, ties, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([stats.chi2_sf(a, int(b)) for a, b in zip(x, dof, strict=True)])
 
