@@ -106,7 +106,7 @@ def features(urls: list[str | None], suffixes: Suffixes) -> np.ndarray:
             + [query.count("&") + (query != ""), len(query), "#" in u, host.count("-"), path.endswith("/"), "." in path, u.startswith("https")]
             + suffixes.values(host)
         )
-    return np.array(rows, float).reshape(len(urls), -1)
+    return np.array(rows, float) if rows else np.empty((0, 20))
 
 
 @dataclass
