@@ -45,6 +45,14 @@ def choice_log(spark: SparkSession) -> DataFrame:
     return cases.select(F.lit("choice").alias("log_id"), F.col("id").cast("string").alias("case_id"), F.col("id").alias("case_idx"), F.posexplode(trace).alias("evt_idx", "activity"))
 
 
+def coin_log(spark: SparkSession) -> DataFrame:
+    """600 made cases of six events, each a or b by a hash: nine in ten are a at first, one in five from case 300 on."""
+    events = spark.range(600).select(F.col("id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("evt_idx"))
+    share = F.when(F.col("id") < 300, 90).otherwise(20)
+    kind = F.when(F.pmod(F.xxhash64("id", "evt_idx"), F.lit(100)) < share, "a").otherwise("b")
+    return events.select(F.lit("coin").alias("log_id"), F.col("id").cast("string").alias("case_id"), F.col("id").alias("case_idx"), F.col("evt_idx").cast("long").alias("evt_idx"), kind.alias("activity"))
+
+
 _LOGS = {
     "order": """order_ AS (SELECT 'order' AS log_id, l_orderkey AS k, l_returnflag || l_linestatus AS activity,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag, l_linestatus) - 1 AS evt_idx,
@@ -352,22 +360,22 @@ def _(spark, d):
 
 @query("bose_changepoints")
 def _(spark, d):
-    return detectors.bose(drift_log(spark, d), 100, "WC", "ks", 2)
+    return detectors.bose(coin_log(spark), 100, "WC", "ks", 2)
 
 
 @query("martjushev_changepoints")
 def _(spark, d):
-    return detectors.martjushev(drift_log(spark, d).where("case_idx >= 400 and case_idx < 600").withColumn("case_idx", F.col("case_idx") - 400), 50, 0.4, "WC")
+    return detectors.martjushev(coin_log(spark), 50, 0.2, "WC")
 
 
 @query("adwin_changepoints")
 def _(spark, d):
-    return detectors.adwin(drift_log(spark, d), 100, 400, 0.4, 50, "WC")
+    return detectors.adwin(coin_log(spark), 50, 200, 0.2, 10, "WC")
 
 
 @query("adwin_jumping_changepoints")
 def _(spark, d):
-    return detectors.adwin(drift_log(spark, d), 100, 400, 0.4, 50, "WC", variant="jumping")
+    return detectors.adwin(coin_log(spark), 50, 200, 0.2, 10, "WC", variant="jumping")
 
 
 @query("prodrift_pvalue")
@@ -392,7 +400,7 @@ def _(spark, d):
 
 @query("pgm_changepoints")
 def _(spark, d):
-    return detectors.pgm(drift_log(spark, d), 100, 400, 0.05)
+    return detectors.pgm(coin_log(spark), 100, 400, 0.05)
 
 
 _PGM = """ev AS (SELECT case_idx, 'e' AS kind, a || '>' || b AS x FROM df UNION ALL SELECT case_idx, 'v', activity FROM {t}),
@@ -785,5 +793,5 @@ def _(spark, d):
 
 @query("peaks")
 def _(spark, d):
-    p = detectors.bose_p(drift_log(spark, d), 100, "WC", "ks", 2)
+    p = detectors.bose_p(coin_log(spark), 100, "WC", "ks", 2)
     return windows.peak_positions(p, 10, 0.05, True, 2, 100)
