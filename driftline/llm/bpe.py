@@ -5,7 +5,8 @@ know waits in the bucket of its rank; a bitmap in two levels tells which
 buckets hold something, so find-first-set gives the next rank.  Entries whose
 parts have merged meanwhile are stale and skipped when they come up.  A merge
 costs O(log of the bucket) however long the pre-token is, so that pre-tokens
-of millions of bytes take time in proportion.
+of millions of bytes take time in proportion; and the new pre-tokens of many
+texts share one list and one queue, which spares each of them its own.
 
 Encoding and decoding are map-only.  A worker keeps the pre-tokens met last
 (two generations of a fixed number, short ones only); the ranks file is read on
@@ -22,10 +23,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -38,37 +41,42 @@ REMEMBERED_LENGTH, REMEMBERED = 48, 150_000
 
 
 class RankQueue:
-    """A set of (rank, position) from which the lowest rank comes first, then the lowest position."""
+    """Buckets of positions by rank, and a bitmap in two levels of the ranks whose buckets hold something."""
 
     __slots__ = ("buckets", "low", "top")
 
-    def __init__(self) -> None:
+    def __init__(self, buckets: dict[int, list[int]]) -> None:
+        self.buckets = buckets  # each list a heap
         self.top = 0
         self.low: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
+        for rank in buckets:
+            self._mark(rank)
+
+    def _mark(self, rank: int) -> None:
+        group = rank >> 8
+        self.low[group] = self.low.get(group, 0) | 1 << (rank & 255)
+        self.top |= 1 << group
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        group = rank >> 8
-        self.low[group] = self.low.get(group, 0) | 1 << (rank & 255)
-        self.top |= 1 << group
+        else:
+            self.buckets[rank] = [position]
+            self._mark(rank)
 
-    def pop(self) -> tuple[int, int]:
-        top = self.top
-        group = (top & -top).bit_length() - 1
+    def first(self) -> int:
+        """The lowest rank: find-first-set on both levels."""
+        group = (self.top & -self.top).bit_length() - 1
         low = self.low[group]
-        rank = group << 8 | (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.low[group] = low = low & (low - 1)
-            if not low:
-                self.top = top & (top - 1)
-        return rank, position
+        return group << 8 | (low & -low).bit_length() - 1
+
+    def clear(self, rank: int) -> None:
+        """Unmark a rank whose bucket has run empty."""
+        group = rank >> 8
+        self.low[group] = low = self.low[group] & ~(1 << (rank & 255))
+        if not low:
+            self.top &= ~(1 << group)
 
 
 class Codec:
@@ -79,73 +87,127 @@ class Codec:
         self.longest = max(map(len, ranks), default=1)
         self.find = regex.compile(pattern).findall
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+        self.double = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)], np.int32)
         self.newer: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each of several pre-tokens.
+
+        They lie in one linked list, with walls between them, and share the
+        queue: the lowest rank of all is the lowest of its own pre-token too.
+        """
         ranks, longest = self.ranks, self.longest
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n = len(piece)
-        after = list(range(1, n + 1))  # start of the next part
-        before = list(range(-1, n - 1))
-        waiting = [-1] * n  # rank for which the pair that starts here waits
-        queue = RankQueue()
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                waiting[i] = rank
-                queue.push(rank, i)
+        text = b"".join(pieces)
+        n = len(text)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        starts = np.concatenate([[0], ends[:-1]])
+        data = np.frombuffer(text, np.uint8)
+        pair = np.full(n, -1, np.int32)
+        pair[:-1] = self.double[data[:-1].astype(np.int64) * 256 + data[1:]]
+        pair[ends[ends > starts] - 1] = -1
+        ids = array("i", self.single[data].tobytes())
+        waiting = array("i", pair.tobytes())  # rank for which the pair that starts here waits
+        after = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes())  # start of the next part
+        previous = np.arange(-1, n - 1, dtype=np.int32)
+        previous[starts[ends > starts]] = -1
+        before = array("i", previous.tobytes())
+        stop = array("i", np.repeat(ends, ends - starts).astype(np.int32).tobytes())
+        order = np.argsort(pair, kind="stable")
+        order = order[np.searchsorted(pair[order], 0) :]
+        known, first = np.unique(pair[order], return_index=True)
+        queue = RankQueue({r: part.tolist() for r, part in zip(known.tolist(), np.split(order, first[1:]), strict=True)} if len(order) else {})
+        get, push = ranks.get, queue.push
         while queue.top:
-            rank, i = queue.pop()
-            if waiting[i] != rank:
-                continue  # stale
-            gone = after[i]
-            follows = after[gone]
-            after[i] = follows
-            waiting[gone] = waiting[i] = -1
-            if follows < n:
-                before[follows] = i
-                end = after[follows]
-                rank = ranks.get(piece[i:end]) if end - i <= longest else None
-                if rank is not None:
-                    waiting[i] = rank
-                    queue.push(rank, i)
-            left = before[i]
-            if left >= 0:
-                rank = ranks.get(piece[left:follows]) if follows - left <= longest else None
-                if rank is None:
-                    waiting[left] = -1
-                elif rank != waiting[left]:
-                    waiting[left] = rank
-                    queue.push(rank, left)
-        out = []
-        i = 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return out
-
-    def _ids(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = tuple(self.merge(piece.encode()))
-        if len(piece) <= REMEMBERED_LENGTH:
-            if len(self.newer) >= REMEMBERED:
-                self.older, self.newer = self.newer, {}
-            self.newer[piece] = ids
-        return ids
+            rank = queue.first()
+            bucket = queue.buckets[rank]
+            lowest = rank
+            while bucket and lowest >= rank:
+                i = heappop(bucket)
+                if waiting[i] != rank:
+                    continue  # stale
+                gone = after[i]
+                follows = after[gone]
+                after[i] = follows
+                waiting[gone] = waiting[i] = ids[gone] = -1
+                ids[i] = rank
+                if follows < stop[i]:
+                    before[follows] = i
+                    end = after[follows]
+                    new = get(text[i:end]) if end - i <= longest else None
+                    if new is not None:
+                        waiting[i] = new
+                        push(new, i)
+                        if new < lowest:
+                            lowest = new
+                left = before[i]
+                if left >= 0:
+                    new = get(text[left:follows]) if follows - left <= longest else None
+                    if new is None:
+                        waiting[left] = -1
+                    elif new != waiting[left]:
+                        waiting[left] = new
+                        push(new, left)
+                        if new < lowest:
+                            lowest = new
+            if not bucket:
+                queue.clear(rank)
+        left_over = np.frombuffer(ids, np.int32)
+        alive = np.flatnonzero(left_over >= 0)
+        flat, cuts = left_over[alive].tolist(), np.searchsorted(alive, np.append(starts, n)).tolist()
+        return [tuple(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _remember(self, found: dict[str, tuple[int, ...]]) -> None:
+        for piece, ids in found.items():
+            if len(piece) <= REMEMBERED_LENGTH:
+                if len(self.newer) >= REMEMBERED:
+                    self.older, self.newer = self.newer, {}
+                self.newer[piece] = ids
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        split = [self.find(t) for t in texts]
+        found: dict[str, tuple[int, ...]] = {}
+        new: list[tuple[str, bytes]] = []
+        for piece in set(chain.from_iterable(split)):
+            ids = self.newer.get(piece)
+            if ids is None:
+                ids = self.older.get(piece)
+            if ids is None:
+                raw = piece.encode()
+                whole = self.ranks.get(raw)
+                if whole is None:
+                    new.append((piece, raw))
+                    continue
+                ids = (whole,)
+            found[piece] = ids
+        if new:
+            found |= zip([p for p, _ in new], self.merge([raw for _, raw in new]), strict=True)
+        self._remember({p: ids for p, ids in found.items() if p not in self.newer})
+        return [list(chain.from_iterable(map(found.__getitem__, pieces))) for pieces in split]
 
     def encode(self, text: str) -> list[int]:
-        known, ids = self.newer.get, self._ids
-        return list(chain.from_iterable([known(p) or ids(p) for p in self.find(text)]))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def _chunks(texts: list[str | None], limit: int = 4 << 20) -> Iterator[list[str]]:
+    """The texts in runs of about `limit` characters; nulls are empty."""
+    out: list[str] = []
+    held = 0
+    for t in texts:
+        out.append(t or "")
+        held += len(out[-1])
+        if held >= limit:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks from a file with a base64 token and its rank in each line."""
     with open(path, "rb") as f:
@@ -181,7 +243,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
         codec = _codec(shared)
-        return pa.array([codec.encode(t or "") for t in column.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([ids for texts in _chunks(column.to_pylist()) for ids in codec.encode_all(texts)], pa.list_(pa.int32()))
 
     return docs.withColumn(ids, run(F.col(text).cast("string")))
 
@@ -208,8 +270,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         decimal = [str(i) for i in range(max(codec.bytes_of, default=0) + 1)]
         for batch in batches:
             counts, encoded, decoded = [], [], []
-            for value in batch.column(1):
-                ids = codec.encode(value.as_py() or "")
+            for ids in chain.from_iterable(map(codec.encode_all, _chunks(batch.column(1).to_pylist()))):
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
