@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import make_log
+from helpers import make_log
 
 from driftline import eventlog
 from driftline.functions import stats

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 
-from conftest import make_log
+from helpers import make_log
 from pyspark.sql import functions as F
 
 from driftline import eventlog
