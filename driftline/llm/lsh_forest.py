@@ -25,8 +25,7 @@ a forest of links, never all pairs.
 What may be missed: a pair of exactly the similarity asked for (0.75) meets in
 no region with probability (1 - 0.75^4)^32 = 5e-6, less above it; the
 signature bound before the full comparison costs 4.5 standard deviations
-(3e-6).  In clusters over `limit` classes a link that is neither to a hub nor
-between neighbours of some sorted order can be missed.
+(3e-6).  The size of a cluster changes nothing in this.
 
 Defined results: texts without words, and null texts, have an empty set and
 are linked with nothing; texts of fewer words than the shingle have their
@@ -171,24 +170,26 @@ def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return found.join(members.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("elems").alias("elems"))
 
 
-def settle(classes: list[bytes], sets: list[np.ndarray], sigs: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
+def settle(classes: list[bytes], sets: list[np.ndarray], sigs: np.ndarray, percent: int, joined: list[bytes] | None = None) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links among the given classes.
 
     Classes like the most common signature come first: they tend to have most
-    links, so later pairs are mostly joined already.
+    links, so later pairs are mostly joined already.  joined: a component each,
+    as far as known before.
     """
     m = len(classes)
+    joined = joined or classes
     if m > 2:
         top = []
         for column in sigs.T:
             values, counts = np.unique(column, return_counts=True)
             top.append(values[np.argmax(counts)])
         order = np.argsort(-(sigs == np.array(top)).sum(1), kind="stable")
-        classes, sets, sigs = [classes[i] for i in order], [sets[i] for i in order], sigs[order]
+        classes, sets, sigs, joined = [classes[i] for i in order], [sets[i] for i in order], sigs[order], [joined[i] for i in order]
     sizes = np.array([len(s) for s in sets], np.int64)
     share = percent / 100
     least = PERMUTATIONS * share - 4.5 * np.sqrt(PERMUTATIONS * share * (1 - share)) if m > 2 else 0
-    root = np.arange(m)
+    root = np.unique(np.array(joined, object), return_inverse=True)[1]
     links = []
     for p in range(m - 1):
         rest = np.arange(p + 1, m)
@@ -230,6 +231,39 @@ def _regions(members: DataFrame, limit: int, orders: int) -> DataFrame:
     return whole.unionByName(pieces.select("chunk", "cls")).unionByName(with_hubs).distinct()
 
 
+def _rest(members: DataFrame, joined: DataFrame, limit: int) -> DataFrame | None:
+    """(chunk, cls, comp): what is left of clusters over `limit` classes, against the whole cluster, in blocks.
+
+    Classes outside their cluster's largest component, some limit / 2 to a
+    block, meet every class of the cluster, some limit / 2 to a block.
+    """
+    hot = members.where(F.col("n") > limit).select("cls", "root", "n").join(joined.select(F.col("node").alias("cls"), F.col("root").alias("known")), "cls", "left")
+    hot = written(hot.select("cls", "root", "n", F.coalesce("known", "cls").alias("comp")), "hot")
+    sizes = hot.groupBy("root", "comp").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("root").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), (F.sum("m") - F.max("m")).alias("left"))
+    todo = hot.join(largest.where("left > 0"), "root")
+    if todo.limit(1).count() == 0:
+        return None
+    blocks = lambda c: F.ceil(F.col(c) * 2 / limit).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64("cls"), blocks(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    rest = todo.where("comp <> main").select("root", "cls", "comp", mine("left").alias("x"), every("n").alias("y"))
+    whole = todo.select("root", "cls", "comp", every("left").alias("x"), mine("n").alias("y"))
+    return rest.unionByName(whole).select(F.concat_ws("/", F.lit("rest"), F.hex("root"), "x", "y").alias("chunk"), "cls", "comp").distinct()
+
+
+def _links(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): spanning forests of the links within each chunk of `tasks` (chunk, cls, comp)."""
+
+    def handle(group: list[dict]) -> list[dict]:
+        found = {r["cls"]: r for r in group}
+        rows = list(found.values())
+        sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(-1, PERMUTATIONS)
+        return [{"u": u, "v": v} for u, v in settle(list(found), [np.frombuffer(r["elems"], np.uint64) for r in rows], sigs, percent, [r["comp"] for r in rows])]
+
+    return grouped_stream(tasks.join(sets, "cls").select("chunk", "cls", "comp", "sig", "elems"), "chunk", handle, "u binary, v binary")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, limit: int = 4000, orders: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
@@ -239,15 +273,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, limit: int =
     clusters = _clusters(classes)
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
     members = written(clusters.join(sizes, "root").join(classes, F.col("node") == F.col("cls")).select("cls", "rep", "sig", "root", "n"), "members")
-    sets = _sets(docs, members, k)
-    tasks = _regions(members, limit, orders).join(sets.join(members.select("cls", "sig"), "cls"), "cls")
-
-    def handle(group: list[dict]) -> list[dict]:
-        found = {r["cls"]: r for r in group}
-        sigs = np.frombuffer(b"".join(r["sig"] for r in found.values()), np.uint32).reshape(-1, PERMUTATIONS)
-        return [{"u": u, "v": v} for u, v in settle(list(found), [np.frombuffer(r["elems"], np.uint64) for r in found.values()], sigs, percent)]
-
-    joined = components(grouped_stream(tasks.select("chunk", "cls", "sig", "elems"), "chunk", handle, "u binary, v binary"))
+    sets = _sets(docs, members, k).join(members.select("cls", "sig"), "cls")
+    links = written(_links(_regions(members, limit, orders).withColumn("comp", F.col("cls")), sets, percent), "links")
+    joined = components(links)
+    rest = None if members.where(F.col("n") > limit).limit(1).count() == 0 else _rest(members, joined, limit)
+    if rest is not None:
+        joined = components(links.unionByName(_links(rest, sets, percent)))
     least = joined.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
     named = joined.join(least, "root").select(F.col("node").alias("cls"), "least")
     ids = classes.join(named, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id"))
