@@ -7,13 +7,13 @@ counts of all words.  So the state tables have a fixed size, while the counts
 cover every word of the corpus.
 
 Plan: one pass counts words (by 64-bit hash, each task sends a word once) and
-the counts are summed into a table.  Starting values come from a few rounds on
-a bounded sample of the training texts; then each of `rounds` Baum-Welch
-rounds runs the scaled forward-backward recursion over *all* training texts,
-sums the expected counts of each symbol across partitions, and sets the new
-tables.  Last, one pass scores every text by the scaled forward recursion; its
-words outside the head are joined with the counts, already grouped by word
-within a task, and added.  The frequent words never take part in a shuffle.
+the counts are summed into a table.  The training texts are written once as
+symbols.  From random tables, each of `rounds` Baum-Welch rounds runs the scaled
+forward-backward recursion over *all* training texts, sums the expected counts
+of each symbol across partitions, and sets the new tables.  Last, one pass
+scores every text by the scaled forward recursion; its words outside the head
+are joined with the counts, already grouped by word within a task, and added.
+The frequent words never take part in a shuffle.
 
 Words are told apart by 64-bit hashes.
 
@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import binary_chunks, short_batches, written
+from .shared import binary_chunks, drop_written, short_batches, written
 
 #: The hash that stands for the end of a text in the count table.
 END = np.uint64(0x454E44)
 TAIL = 1024
 #: Tokens (with padding) that the recursion holds at once.
-CELLS = 1 << 19
+CELLS = 1 << 20
+#: Symbols of encoded texts that a task of a round gathers before the recursion.
+HELD = 1 << 22
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -161,36 +163,40 @@ def expected(model: Model, symbols: np.ndarray, bounds: np.ndarray, emitted: np.
     """Expected starts and steps; `emitted` [symbol, state] is added to."""
     states = len(model.start)
     starts, steps = np.zeros(states), np.zeros((states, states))
+    back, ones = np.ascontiguousarray(model.step.T), np.ones(states, model.emit.dtype)
     for _, n, grid in _batches(symbols, bounds):
-        longest = len(grid)
-        active = np.searchsorted(-n, -np.arange(longest), side="left")
-        alphas = []
-        scales = []
-        a = model.start * model.emit[grid[0]]
-        for t in range(longest):
-            if t:
-                a = (a[: active[t]] @ model.step) * model.emit[grid[t, : active[t]]]
-            scale = a.sum(1, keepdims=True)
-            a = a / scale
-            alphas.append(a)
-            scales.append(scale)
-        beta = np.ones((active[-1], states), np.float32)
-        flat_symbols, flat_gamma = [], []
-        for t in range(longest - 1, -1, -1):
-            k = active[t]
-            if len(beta) < k:
-                beta = np.concatenate([beta, np.ones((k - len(beta), states), np.float32)])
-            flat_symbols.append(grid[t, :k])
-            flat_gamma.append(alphas[t] * beta)
+        # all cells of active texts, time after time
+        flat = grid[np.arange(len(grid))[:, None] < n]
+        active = np.searchsorted(-n, -np.arange(len(grid)), side="left")
+        at = np.concatenate([[0], np.cumsum(active)])
+        begin, active = at.tolist(), active.tolist()
+        ahead = np.take(model.emit, flat, axis=0)
+        alpha, scale = np.empty_like(ahead), np.empty(len(flat), ahead.dtype)
+        for t, k in enumerate(active):
+            i = begin[t]
+            a = alpha[i : i + k]
             if t:
-                ahead = beta * model.emit[grid[t, :k]] / scales[t]
-                steps += alphas[t - 1][:k].T @ ahead
-                beta = ahead @ model.step.T
-        gamma = np.concatenate(flat_gamma)
-        starts += flat_gamma[-1].sum(0)
-        which = np.concatenate(flat_symbols)
+                np.matmul(alpha[before : before + k], model.step, out=a)
+                a *= ahead[i : i + k]
+            else:
+                np.multiply(model.start, ahead[:k], out=a)
+            c = np.matmul(a, ones, out=scale[i : i + k])
+            a /= c[:, None]
+            before = i
+        ahead /= scale[:, None]
+        beta = np.ones((active[0], states), ahead.dtype)  # texts already ended keep their ones
+        for t in range(len(active) - 1, 0, -1):
+            k, i = active[t], begin[t]
+            b = ahead[i : i + k]
+            b *= beta[:k]
+            np.matmul(b, back, out=beta[:k])
+        later, first = ahead[active[0] :], active[0]
+        previous = np.arange(first, len(flat)) - np.repeat(active[:-1], active[1:])
+        steps += np.take(alpha, previous, axis=0).T @ later
+        alpha[previous] *= later @ back
+        starts += alpha[:first].sum(0)
         for s in range(states):
-            emitted[:, s] += np.bincount(which, gamma[:, s], len(emitted))
+            emitted[:, s] += np.bincount(flat, alpha[:, s], len(emitted))
     return starts, steps * model.step
 
 
@@ -206,50 +212,81 @@ def _ended(t: tx.Tokens, symbols: np.ndarray, end: int) -> tuple[np.ndarray, np.
     return np.insert(symbols, t.bounds[1:], end), t.bounds + np.arange(len(t.bounds))
 
 
-def starting(texts: list[bytes], vocab: Vocabulary, states: int, rounds: int, seed: int) -> Model:
-    """Tables after `rounds` rounds on a few texts, from random ones."""
-    rng = np.random.default_rng(seed)
+def random_tables(vocab: Vocabulary, states: int, seed: int) -> Model:
+    """Tables to begin with; without training texts, those of no counts."""
     prior = vocab.unigram()
-    noise = rng.gamma(1.0, 1.0, (len(prior), states))
-    model = maximised(np.ones(states), np.ones((states, states)) + 4 * np.eye(states), prior[:, None] * noise * 1e4, prior, 1.0)
-    if not texts:
+    if not vocab.n:
         return maximised(np.ones(states), np.ones((states, states)), np.tile(prior[:, None], states), prior, 1.0)
+    noise = np.random.default_rng(seed).gamma(1.0, 1.0, (len(prior), states))
+    return maximised(np.ones(states), np.ones((states, states)) + 4 * np.eye(states), prior[:, None] * noise * 1e4, prior, 1.0)
+
+
+def starting(texts: list[bytes], vocab: Vocabulary, model: Model, rounds: int) -> Model:
+    """Tables after `rounds` rounds on a few texts."""
+    prior = vocab.unigram()
     t = tx.tokens(texts, lower=True)
     symbols, bounds = _ended(t, vocab.encode(t.hashes), len(prior) - 1)
     for _ in range(rounds):
-        emitted = np.zeros((len(prior), states))
+        emitted = np.zeros(model.emit.shape)
         starts, steps = expected(model, symbols, bounds, emitted)
         model = maximised(starts, steps, emitted, prior, 200.0)
     return model
 
 
+def encoded(train: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(symbols): those of each row of `train` (text) with its end, as the bytes of 32-bit integers."""
+    shared = train.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        for batch in batches:
+            for _, _, texts in binary_chunks(batch.column(0), 8 << 20):
+                t = tx.tokens(texts, lower=True)
+                symbols, bounds = _ended(t, vocab.encode(t.hashes), vocab.symbols - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([symbols[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["symbols"])
+
+    return train.select(F.col("text").cast("string")).mapInArrow(run, "symbols binary")
+
+
 def baum_welch(train: DataFrame, vocab: Vocabulary, model: Model) -> Model:
-    """One round over all of `train` (text)."""
+    """One round over all of `train` (symbols)."""
     spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((vocab, model))
-    states = len(model.start)
+    shared = spark.sparkContext.broadcast(model)
+    n_symbols, states = model.emit.shape
     prior = vocab.unigram()
+    names = [f"e{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model = shared.value
-        emitted = np.zeros((vocab.symbols, states))
+        model = shared.value
+        emitted = np.zeros((n_symbols, states))
         starts, steps = np.zeros(states), np.zeros((states, states))
+        held: list[bytes] = []
+        size = 0
+
+        def add() -> None:
+            bounds = np.cumsum([0, *(len(x) // 4 for x in held)])
+            s, x = expected(model, np.frombuffer(b"".join(held), np.int32), bounds, emitted)
+            held.clear()
+            np.add(starts, s, out=starts)
+            np.add(steps, x, out=steps)
+
         for batch in batches:
-            for _, _, texts in binary_chunks(batch.column(0), 8 << 20):
-                t = tx.tokens(texts, lower=True)
-                s, x = expected(model, *_ended(t, vocab.encode(t.hashes), vocab.symbols - 1), emitted)
-                starts += s
-                steps += x
+            for text in batch.column(0):
+                held.append(text.as_py())
+                size += len(held[-1])
+                if size >= 4 * HELD:
+                    add()
+                    size = 0
+        if held:
+            add()
         seen = np.flatnonzero(emitted.any(1))
-        names = [f"e{k}" for k in range(states)]
         yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(emitted[seen, k]) for k in range(states))], ["symbol", *names])
         extra = np.vstack([starts, steps])  # rows below zero: starts, then the steps from each state
         yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(states + 1)), *(pa.array(extra[:, k]) for k in range(states))], ["symbol", *names])
 
-    names = [f"e{k}" for k in range(states)]
     # rounded to whole millionths: sums of integers do not depend on the order of tasks
-    sums = train.select(F.col("text").cast("string")).mapInArrow(run, "symbol long, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*(F.sum(F.round(F.col(n) * 1e6).cast("long")).alias(n) for n in names)).toPandas()  # a row for each symbol
-    emitted, extra = np.zeros((vocab.symbols, states)), np.zeros((states + 1, states))
+    sums = train.mapInArrow(run, "symbol long, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*(F.sum(F.round(F.col(n) * 1e6).cast("long")).alias(n) for n in names)).toPandas()  # a row for each symbol
+    emitted, extra = np.zeros((n_symbols, states)), np.zeros((states + 1, states))
     at, values = sums["symbol"].to_numpy(np.int64), sums[names].to_numpy(np.float64) / 1e6
     emitted[at[at >= 0]] = values[at >= 0]
     extra[-1 - at[at < 0]] = values[at < 0]
@@ -315,22 +352,27 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model) -
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base_score") + gain - n * F.log10(F.lit(floor))).alias("base_score"), (F.col("score") + gain).alias("score"))
 
 
-def language_scores(docs: DataFrame, states: int = 8, head: int = 1 << 16, rounds: int = 1, sample: int = 1500, sample_rounds: int = 12, seed: int = 3) -> DataFrame:
+def language_scores(docs: DataFrame, states: int = 8, head: int = 1 << 16, rounds: int = 13, sample: int = 0, sample_rounds: int = 12, seed: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of `docs`.
 
-    Learns from rows whose crc32(doc_id as text) mod 5 is not 1.  sample: texts
-    of at most 20,000 bytes (those of lowest hash of the id), for the starting
-    values only.
+    Learns from rows whose crc32(doc_id as text) mod 5 is not 1, in `rounds`
+    rounds over all of them.  sample: texts of at most 20,000 bytes (those of
+    lowest hash of the id) for `sample_rounds` rounds before these; none here.
     """
     short_batches(docs.sparkSession)
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     train = docs.where(remainder != 1)
     counts = written(word_counts(train), "words")
     vocab = vocabulary(counts, head)
-    few = train.select("doc_id", "text").where(F.octet_length("text") <= 20000).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    model = starting([(r.text or "").encode() for r in few], vocab, states, sample_rounds, seed)
-    for _ in range(rounds):
-        model = baum_welch(train, vocab, model)
+    model = random_tables(vocab, states, seed)
+    if vocab.n:
+        if sample:
+            few = train.select("doc_id", "text").where(F.octet_length("text") <= 20000).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+            model = starting([(r.text or "").encode() for r in few], vocab, model, sample_rounds) if few else model
+        texts = written(encoded(train, vocab), "symbols")
+        for _ in range(rounds):
+            model = baum_welch(texts, vocab, model)
+        drop_written(texts)
     out = score(docs, counts, vocab, model)
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     return out.select("doc_id", (F.coalesce(remainder, F.lit(1)) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(vocab.n).cast("long").alias("train_tokens"), "base_score", "score")

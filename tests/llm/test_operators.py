@@ -436,6 +436,29 @@ def test_language_scores(spark, frame):
     assert hmm.language_scores(frame(rows).where("false")).count() == 0
 
 
+def test_every_round_takes_all_training_text(frame):
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join(rng.choice(words[:20] if i % 2 else words[15:]) for _ in range(30))) for i in range(60)]
+    rows += [(100 + i, " ".join((words[i % 5], words[20 + j % 10])[j % 2] for j in range(8000))) for i in range(6)]  # over 20,000 bytes each
+    got = {r.doc_id: r.score for r in hmm.language_scores(frame(rows), states=3, head=40).collect()}
+    train = [t.split() + [None] for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    n = collections.Counter(w for t in train for w in t)
+    order = sorted((w for w in n if w), key=lambda w: (-n[w], tx.tokens([w.encode()]).hashes.view(np.int64)[0]))
+    assert len(order) == 30
+    end = 30 + hmm.TAIL
+    code = {w: k for k, w in enumerate(order)} | {None: end}
+    flat = lambda texts: (np.array([code[w] for t in texts for w in t], np.int32), np.cumsum([0, *map(len, texts)]))
+    vocab = hmm.Vocabulary(tx.tokens([" ".join(order).encode()]).hashes, np.array([n[w] for w in order]), np.zeros(hmm.TAIL, np.int64), np.zeros(hmm.TAIL, np.int64), sum(n.values()), len(n))
+    model, prior = hmm.random_tables(vocab, 3, 3), vocab.unigram()
+    for _ in range(13):
+        emitted = np.zeros((vocab.symbols, 3))
+        starts, steps = hmm.expected(model, *flat(train), emitted)
+        model = hmm.maximised(starts, steps, emitted, prior, 200.0)
+    want = hmm.forward(model, *flat([t.split() + [None] for _, t in rows]))
+    assert [got[i] for i, _ in rows] == pytest.approx(list(want), rel=1e-3)
+
+
 # --- 10 ---------------------------------------------------------------------
 
 
