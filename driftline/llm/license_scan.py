@@ -1,10 +1,12 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-One pass over the texts finds the passages that may be a licence header (lines
-with a trigger word, and whole texts of licence files) and counts in how many
-texts, of all, each term of the templates occurs.  A second pass, over the
-passages alone, compares each with every template by the cosine of sparse
-TF-IDF vectors; terms that no template has count with the weight of a term
+One pass over the texts finds the regions that may hold a licence header (lines
+around a trigger word with its paragraph, and whole texts of licence files) and
+counts in how many texts, of all, each term of the templates occurs.  A second
+pass, over the regions alone, compares every window of adjacent lines with a
+trigger word, its paragraph, the region and the whole licence file with every
+template (notices, standard headers, full licences) by the cosine of sparse
+TF-IDF vectors; an SPDX tag that names a template's licence counts as 1.  Terms that no template has count with the weight of a term
 never seen.  The best template over the threshold is the file's own licence.
 
 Directories with a licence file have its licence.  Each directory of files is
@@ -20,8 +22,10 @@ is found; an empty table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,34 +40,76 @@ TRIGGERS = (b"licen", b"copyright", b"spdx", b"copying")
 #: First letters of the names of licence files, lower case.
 FILE_NAMES = ("license", "licence", "copying", "unlicense")
 
+#: Lines of the longest window.
+BLOCK = 16
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]")
+#: A licence's identifier in a tag; of an expression, the first one.
+SPDX = re.compile(rb"(?i)SPDX-License-Identifier:[ \t(]*([\w.+-]+)")
+
 #: Common notices: licence, and wording with which texts refer to it.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license. Redistribution and use in source and binary forms, with or without modification, are permitted."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """Whole licences, by the names of their files."""
+    return [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))]
+
+
 def terms(text: bytes) -> Counter:
     """Number of each token (by hash) of a text."""
     return Counter(tx.tokens([text], tx.NOT_ALNUM, lower=True).hashes.tolist())
 
 
-def passages(text: bytes, whole: bool) -> list[bytes]:
-    """Lines with a trigger word; of a licence file the whole text besides."""
+def _triggers(lines: list[bytes]) -> list[bool]:
+    return [any(t in line for t in TRIGGERS) for line in (x.lower() for x in lines)]
+
+
+def regions(text: bytes, whole: bool) -> list[bytes]:
+    """Adjacent lines that may hold a header: those less than BLOCK from a trigger line, and its paragraph.  Of a licence file the whole text."""
+    if whole:
+        return [text] if text else []
     low = text.lower()
     if not any(t in low for t in TRIGGERS):
-        return [text] if whole and text else []
-    found = [line for line in text.split(b"\n") if any(t in line.lower() for t in TRIGGERS)]
-    return [*found, text] if whole else found
+        return []
+    lines = text.split(b"\n")
+    near = np.zeros(len(lines) + 1, np.int64)
+    hit = np.flatnonzero(_triggers(lines))
+    np.add.at(near, np.maximum(hit - BLOCK + 1, 0), 1)
+    np.add.at(near, np.minimum(hit + BLOCK, len(lines)), -1)
+    for i, j in _paragraphs(lines):
+        if np.searchsorted(hit, j) > np.searchsorted(hit, i):
+            near[i] += 1
+            near[j] -= 1
+    inside = np.concatenate([[0], (np.cumsum(near[:-1]) > 0).astype(np.int8), [0]])
+    edges = np.flatnonzero(np.diff(inside)).reshape(-1, 2)
+    return [b"\n".join(lines[i:j]) for i, j in edges.tolist()]
+
+
+def _paragraphs(lines: list[bytes]) -> list[tuple[int, int]]:
+    """Runs of lines with a letter or digit (so comment marks alone end one)."""
+    full = np.array([0, *(bool(WORD.search(x)) for x in lines), 0], np.int8)
+    return np.flatnonzero(np.diff(full)).reshape(-1, 2).tolist()
 
 
 def is_licence_file(path: str | None) -> bool:
@@ -77,21 +123,64 @@ class Matcher:
         self.unseen = np.log(n + 1.0) + 1
         self.idf = {h: np.log((n + 1.0) / (c + 1)) + 1 for h, c in df.items()}
         self.vectors = [(name, self.weighted(terms(text.encode()))) for name, text in sorted(templates)]
+        #: of each term, its weight in each template, times that in a passage
+        self.columns = {h: self.idf.get(h, self.unseen) * np.array([v.get(h, 0.0) for _, v in self.vectors]) for h in {h for _, v in self.vectors for h in v}}
 
     def weighted(self, counts: Counter) -> dict[int, float]:
         v = {h: c * self.idf.get(h, self.unseen) for h, c in counts.items()}
         norm = np.sqrt(sum(x * x for x in v.values())) or 1.0
         return {h: x / norm for h, x in v.items()}
 
-    def best(self, found: list[bytes]) -> tuple[float, str | None]:
+    def best(self, found: list[bytes], whole: bool = False) -> tuple[float, str | None]:
+        """Best cosine over all windows of at most BLOCK adjacent lines with a trigger word, paragraphs and regions that have one, and whole files."""
         top, name = 0.0, None
-        for passage in found:
-            v = self.weighted(terms(passage))
-            for licence, t in self.vectors:
-                cosine = sum(x * v[h] for h, x in t.items() if h in v)
-                if cosine > top + 1e-12 or (abs(cosine - top) <= 1e-12 and name and licence < name):
-                    top, name = cosine, licence
-        return top, name
+        names = [n for n, _ in self.vectors]
+        if not names:
+            return top, name
+
+        def offer(score: float, licence: str) -> None:
+            nonlocal top, name
+            if score > top + 1e-12 or (abs(score - top) <= 1e-12 and name and licence < name):
+                top, name = score, licence
+
+        for region in dict.fromkeys(found):
+            for tag in SPDX.findall(region):
+                known = re.sub(rb"(?i)-(only|or-later)$|\\+$", b"", tag).decode().lower()
+                for licence in names:
+                    if licence.lower() == known:
+                        offer(1.0, licence)
+            lines = region.split(b"\n")
+            counts = [terms(x) for x in lines]
+            marks = np.concatenate([[0], np.cumsum(_triggers(lines))])
+            dots = np.zeros((len(lines) + 1, len(names)))
+            for i, c in enumerate(counts):
+                dots[i + 1] = dots[i]
+                for h, n in c.items():
+                    if h in self.columns:
+                        dots[i + 1] += n * self.columns[h]
+            spans = _paragraphs(lines)
+            longer = {i: {j} for i, j in spans if j - i > BLOCK}
+            if len(lines) > BLOCK:
+                longer.setdefault(0, set()).add(len(lines))
+            for i in range(len(lines)):
+                ends, last = longer.get(i, set()), min(len(lines), i + BLOCK)
+                if not ends and marks[last] == marks[i] and not (whole and i == 0):
+                    continue
+                seen: Counter = Counter()
+                square = 0.0
+                for j in range(i, max(ends, default=last)):
+                    for h, n in counts[j].items():
+                        w, old = self.idf.get(h, self.unseen), seen[h]
+                        square += w * w * n * (2 * old + n)
+                        seen[h] = old + n
+                    all_ = whole and i == 0 and j + 1 == len(lines)
+                    if square and (all_ or (marks[j + 1] > marks[i] and (j + 1 - i <= BLOCK or j + 1 in ends))):
+                        scores = (dots[j + 1] - dots[i]) / np.sqrt(square)
+                        k = int(scores.argmax())
+                        k = int(np.flatnonzero(scores >= scores[k] - 1e-12)[0])  # names are in order
+                        if scores[k] > 1e-9:
+                            offer(float(scores[k]), names[k])
+        return min(top, 1.0), name
 
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.6) -> DataFrame:
@@ -101,7 +190,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, thres
     """
     spark = files.sparkSession
     short_batches(spark)
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES + full_texts() if templates is None else templates
     vocabulary = np.array(sorted({h for _, t in templates for h in terms(t.encode())}), np.uint64)
     kinds = "doc_id long, path string, passages array<binary>, term int, n long"
     names = ["doc_id", "path", "passages", "term", "n"]
@@ -115,7 +204,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, thres
                 at = index.find(t.hashes)
                 seen = np.unique(t.owners[at >= 0] * len(vocabulary) + at[at >= 0])
                 df += np.bincount(seen % max(len(vocabulary), 1), minlength=len(vocabulary))
-                found = [passages(x, is_licence_file(p)) for x, p in zip(texts, paths[i:j], strict=True)]
+                found = [regions(x, is_licence_file(p)) for x, p in zip(texts, paths[i:j], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(found, pa.list_(pa.binary())), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.int64())], names)
         hit = np.flatnonzero(df)
         none = pa.nulls(len(hit), pa.int64())
@@ -128,9 +217,9 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, thres
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = [shared.value.best(p) if p else (0.0, None) for p in batch.column(2).to_pylist()]
-            own = [name if score >= threshold else None for score, name in best]
             paths = batch.column(1).to_pylist()
+            best = [shared.value.best(x, is_licence_file(p)) if x else (0.0, None) for x, p in zip(batch.column(2).to_pylist(), paths, strict=True)]
+            own = [name if score >= threshold else None for score, name in best]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([p.rpartition("/")[0] if p is not None else None for p in paths], pa.string()), pa.array([is_licence_file(p) for p in paths]), pa.array(own, pa.string()), pa.array([s for s, _ in best], pa.float64())],
                 ["doc_id", "path", "dir", "is_file", "own", "score"],

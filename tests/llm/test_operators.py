@@ -394,6 +394,20 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string"), templates=[]).where("licence is not null").count() == 0
 
 
+def test_wrapped_headers_full_texts_and_tags_are_found(spark):
+    full = dict(license_scan.full_texts())
+    comment = lambda t: "#!/bin/sh\n" + "".join(f"# {x}\n" for x in t.split("\n")) + "import os\nx = 1\n"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file."
+    files = [(1, "a/g.py", comment(gpl)), (2, "a/b.py", comment(bsd)), (3, "a/m.py", comment(full["MIT"].split("\n\n")[1])), (4, "a/i.py", comment(full["ISC"].split("\n\n")[1])), (5, "a/s.py", "# SPDX-License-Identifier: MIT\ncode"), (6, "a/t.py", "# SPDX-License-Identifier: Unknown-1.0\ncode")]
+    want = {1: "GPL-3.0", 2: "BSD-3-Clause", 3: "MIT", 4: "ISC", 5: "MIT", 6: None}
+    for k, (name, text) in enumerate(full.items()):
+        files += [(100 + k, f"x{k}/LICENSE", "Copyright (c) 2020 A. Person\n\n" + text), (200 + k, f"x{k}/y/z.py", "code")]
+        want |= {100 + k: name, 200 + k: name}
+    got = {r.doc_id: r.licence for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == want
+
+
 # --- 9 ----------------------------------------------------------------------
 
 
