@@ -32,10 +32,12 @@ def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 1000 cases of the order log with two activities swapped from the middle on."""
-    e = order_log(spark, sf_dir).where("case_idx < 1000")
+    """The whole order log with two activities swapped from the middle on."""
+    e = order_log(spark, sf_dir)
+    n = eventlog.log_lengths(e).select("log_id", F.col("n_cases").alias("n"))
     swapped = F.when(F.col("activity") == "NO", "AF").when(F.col("activity") == "AF", "NO").otherwise(F.col("activity"))
-    return e.withColumn("activity", F.when(F.col("case_idx") < 500, F.col("activity")).otherwise(swapped))
+    late = F.col("case_idx") >= F.col("n") / 2
+    return e.join(F.broadcast(n), "log_id").withColumn("activity", F.when(late, swapped).otherwise(F.col("activity"))).select(*e.columns)
 
 
 def choice_log(spark: SparkSession) -> DataFrame:
@@ -786,8 +788,10 @@ def _(spark, d):
 
 @query("grid_run")
 def _(spark, d):
-    logs = spark.createDataFrame([("order", "driver", [499.0])], "log_id string, log_source string, actual array<double>")
-    out = grid.run_all(drift_log(spark, d), {"lcdd": {"complete,detection": [(100, 100), (200, 200)], "stable_period": [10]}, "rinv": {"mrid": [100], "eps": [20]}}, logs)
+    e = drift_log(spark, d)
+    middle = F.ceil(F.col("n_cases") / 2).cast("double") - 1  # the last case before the change
+    logs = eventlog.log_lengths(e).select("log_id", F.lit("driver").alias("log_source"), F.array(middle).alias("actual"))
+    out = grid.run_all(e, {"lcdd": {"complete,detection": [(100, 100), (200, 200)], "stable_period": [10]}, "rinv": {"mrid": [100], "eps": [20]}}, logs)
     return out.drop("seconds", "seconds_per_case")
 
 

@@ -95,3 +95,14 @@ def test_results_round_trip(spark, tmp_path):
 
 def test_grid_settings():
     assert grid.settings({"w,most": [(1, 2), (3, 4)], "alpha": [0.1]}) == [{"w": 1, "most": 2, "alpha": 0.1}, {"w": 3, "most": 4, "alpha": 0.1}]
+
+
+def test_drift_log_is_the_whole_order_log(spark):
+    from driftline.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    order, drift = (f(spark, d).select("case_idx", "evt_idx", "activity") for f in (catalogue.order_log, catalogue.drift_log))
+    n = order.agg({"case_idx": "max"}).first()[0] + 1
+    other = {"NO": "AF", "AF": "NO"}
+    want = {(c, e): other.get(a, a) if c >= n / 2 else a for c, e, a in order.collect()}
+    assert n > 1000 and {(c, e): a for c, e, a in drift.collect()} == want
