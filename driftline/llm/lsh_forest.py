@@ -5,34 +5,42 @@ The plan:
 1. One pass over the texts gives each row its class (documents with equal
    shingle sets are one class, however many copies there are), set size and
    MinHash signature.
-2. The forest: each of `TREES` trees orders the classes by a rotation of the
-   signature.  Classes that share their first `depth` values in a tree form a
-   region; members of a region are candidates of each other.
-3. Regions tie classes into clusters (star edges to the least class of each
-   region, one edge a member, then components).
-4. Clusters of up to `limit` classes are settled in one task on their full
-   sets.  A larger cluster is cut, in each of `orders` sorted signature
-   orders, into regions whose depth adapts until they hold at most `limit`
-   classes; each region is settled together with the cluster's hubs, the
-   classes nearest to its most common signature.
-5. Links found are joined into components; a row's component is the least
+2. The forest: `TREES` sorted orders of the classes, each by a rotation of the
+   signature.  All orders are one range-partitioned sort by (order, first DEPTH
+   values, next values, class), so that even a third of all classes with one
+   prefix is dealt over many tasks.  A pass over the sorted rows keeps those
+   whose longest common prefix with a neighbour has DEPTH values at least; a
+   run of such neighbours is a region.
+3. In the first `orders` orders the depth adapts: a region goes down, a value
+   at a time, until it holds at most `leaf` classes (and `piece_bytes`); what
+   is equal in all values kept is dealt by class.  Regions with the same
+   members count once.  Each is settled on the full shingle sets: a spanning
+   forest of its links.
+4. The links found are joined into components.  In *all* orders, the regions
+   that still hold several components, again those of equal members once, are
+   finished exactly: what is outside a region's largest component meets the
+   whole region, in blocks of `piece_bytes`.
+5. All links are joined into components; a row's component is the least
    doc_id of it.
 
-Within a task every pair that the signatures leave possible is compared once,
-unless a chain of confirmed links joins it already; the rows that come out are
-a forest of links, never all pairs.
+All sizes of regions and clusters take this way.  Within a task every pair that
+the signatures leave possible is compared once, unless a chain of confirmed
+links joins it already; the rows that come out are a forest of links, never
+all pairs.
 
-What may be missed: a pair of exactly the similarity asked for (0.75) meets in
-no region with probability (1 - 0.75^4)^32 = 5e-6, less above it; the
-signature bound before the full comparison costs 4.5 standard deviations
-(3e-6).  The size of a cluster changes nothing in this.
+What may be missed: a pair of exactly the similarity asked for (0.75) shares
+DEPTH values in no order with probability (1 - 0.75^4)^32 = 5e-6, less above
+it; the signature bound before the full comparison costs 4.5 standard
+deviations (3e-6).  The size of a region or cluster changes nothing in this.
 
 Defined results: texts without words, and null texts, have an empty set and
 are linked with nothing; texts of fewer words than the shingle have their
 whole word sequence as one shingle; rows that repeat a doc_id or have none
 count as rows of their own, and a null doc_id never names a component unless
 no row of it has an id; an empty table gives an empty result.  Other columns
-of the input are ignored.
+of the input are ignored by `near_duplicates`.  `keep_rows` keeps all columns and,
+of each component, the one row of least doc_id (null last), of rows with that
+id the first read; rows without words all stay.
 """
 
 from __future__ import annotations
@@ -42,16 +50,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .shared import binary_chunks, grouped_stream, short_batches, written
+from .shared import binary_chunks, column_free_name, drop_written, grouped_stream, short_batches, written
 
 PERMUTATIONS = 128
 TREES = 32
 DEPTH = 4
+#: Values of a rotation by which an order sorts, and bits of an order's number in its keys.
+DEEPEST, TREE_BITS = 8, 5
 #: Bits of the filter that picks the documents whose sets are needed; its size does not grow with the data.
 FILTER_BITS = 1 << 22
 
@@ -95,49 +105,119 @@ def class_of(values: np.ndarray) -> bytes | None:
 
 
 def _rows(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, cls, sig of each row."""
+    """row, doc_id, n_shingles, cls, sig of each row of `docs` (row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, texts in binary_chunks(batch.column(1)):
+            for i, j, texts in binary_chunks(batch.column(2)):
                 sets = shingle_sets(texts, k)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(1).slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([class_of(s) for s in sets], pa.binary()),
                         pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "cls", "sig"],
+                    ["row", "doc_id", "n_shingles", "cls", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig binary")
+    return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, n_shingles long, cls binary, sig binary")
 
 
-def _region_keys(classes: DataFrame, depths: list[int], trees: list[int]) -> DataFrame:
-    """(tree, depth, key, cls): for each class, tree and depth the hash of the first `depth` values in the tree's rotation."""
+def _order_keys(classes: DataFrame) -> DataFrame:
+    """(region, rest, cls, weight) of each class (cls, sig, weight) in each order.
+
+    region: the order's number, then a hash of the first DEPTH values of its
+    rotation; rest: 16 bits each of the next values.  Together they sort as the
+    rotations do, up to the arrangement of sister branches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, PERMUTATIONS).astype(np.uint64)
-            for tree in trees:
+            for tree in range(TREES):
                 rotated = np.roll(sig, -DEPTH * tree, 1)
-                for depth in depths:
-                    key = np.full(len(sig), depth + 1000 * tree, np.uint64)
-                    for d in range(depth):
-                        key = tx.mix(key ^ rotated[:, d]) + np.uint64(d)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), tree, np.int16)), pa.array(np.full(len(sig), depth, np.int16)), pa.array(key.view(np.int64)), batch.column(0)], ["tree", "depth", "key", "cls"])
+                key = np.full(len(sig), tree, np.uint64)
+                for d in range(DEPTH):
+                    key = tx.mix(key ^ rotated[:, d]) + np.uint64(d)
+                key = (key >> np.uint64(TREE_BITS)) | np.uint64(tree << (64 - TREE_BITS))
+                rest = np.zeros(len(sig), np.uint64)
+                for d in range(DEPTH, DEEPEST):
+                    rest = (rest << np.uint64(16)) | (rotated[:, d] & np.uint64(0xFFFF))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rest.view(np.int64)), batch.column(0), batch.column(2)], ["region", "rest", "cls", "weight"])
 
-    return classes.select("cls", "sig").mapInArrow(run, "tree short, depth short, key long, cls binary")
+    return classes.select("cls", "sig", "weight").mapInArrow(run, "region long, rest long, cls binary, weight long")
 
 
-def _clusters(classes: DataFrame) -> DataFrame:
-    """(node, root): clusters of classes that share a region with some other, chained."""
-    keys = _region_keys(classes, [DEPTH], list(range(TREES)))
-    regions = keys.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("cls").alias("least")).where("n > 1")
-    return components(keys.join(regions, ["tree", "key"]).select(F.col("cls").alias("u"), F.col("least").alias("v")))
+def _members(classes: DataFrame) -> DataFrame:
+    """(region, rest, cls, weight): the sorted orders without classes that no neighbour shares DEPTH values with.
+
+    The first and the last row of a task stay, since their neighbours may be in
+    another; a region of theirs that holds nothing else has one member.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        known = True  # whether the held row stays already
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            region = rows.column(0).to_numpy()
+            same = region[1:] == region[:-1]
+            stays = np.zeros(len(region), bool)
+            stays[1:] |= same
+            stays[:-1] |= same
+            stays[0] |= known
+            yield rows.slice(0, len(region) - 1).filter(pa.array(stays[:-1]))
+            held, known = rows.slice(len(region) - 1), bool(stays[-1])
+        if held is not None:
+            yield held
+
+    order = ["region", "rest", "cls"]
+    return _order_keys(classes).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "region long, rest long, cls binary, weight long")
+
+
+def _once(tasks: DataFrame) -> DataFrame:
+    """`tasks` (chunk, cls) without those of one class, and of those with the same classes only one."""
+    same = tasks.groupBy("chunk").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("h")).where("n > 1")
+    return tasks.join(same.groupBy("n", "h").agg(F.min("chunk").alias("chunk")).select("chunk"), "chunk", "left_semi")
+
+
+def _leaves(members: DataFrame, orders: int, leaf: int, piece_bytes: int) -> DataFrame:
+    """(chunk, cls): regions of the first orders, at the least depth at which they are small enough."""
+    own = members.where(F.shiftrightunsigned("region", 64 - TREE_BITS) < orders)
+    depths = F.array(*(F.struct(F.lit(d).alias("depth"), (F.lit(0).cast("long") if d == DEPTH else F.shiftright("rest", 16 * (DEEPEST - d))).alias("prefix")) for d in range(DEPTH, DEEPEST + 1)))
+    at = own.select("region", "cls", "weight", F.explode(depths).alias("x")).select("region", "cls", "weight", "x.depth", "x.prefix")
+    sizes = at.groupBy("region", "depth", "prefix").agg(F.count("*").alias("m"), F.sum("weight").alias("w")).where("m > 1")
+    parts = F.greatest(F.ceil(F.col("m") / leaf), F.ceil(F.col("w") / piece_bytes))
+    fits = at.join(sizes.select("region", "depth", "prefix", parts.alias("parts")), ["region", "depth", "prefix"])
+    # the least depth that fits, or else the greatest
+    best = fits.groupBy("region", "cls").agg(F.min_by(F.struct("depth", "prefix", "parts"), F.when(F.col("parts") == 1, F.col("depth")).otherwise(1000 - F.col("depth"))).alias("r"))
+    part = F.when(F.col("r.parts") > 1, F.pmod(F.xxhash64("cls"), F.col("r.parts"))).otherwise(0)
+    return _once(best.select(F.xxhash64("region", "r.depth", "r.prefix", part).alias("chunk"), "cls"))
+
+
+def _open_regions(members: DataFrame, joined: DataFrame, piece_bytes: int) -> DataFrame:
+    """(chunk, cls, comp): regions of all orders that hold several components, in blocks.
+
+    Classes outside a region's largest component meet all classes of the region.
+    """
+    state = written(members.join(joined.select(F.col("node").alias("cls"), "root"), "cls", "left").select("region", "cls", "weight", F.coalesce("root", "cls").alias("comp")), "state")
+    mixed = state.groupBy("region").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("h"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    todo = state.join(mixed.groupBy("n", "h").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
+    sizes = todo.groupBy("region", "comp").agg(F.count("*").alias("m"), F.sum("weight").alias("w"))
+    total = sizes.groupBy("region").agg(F.max_by(F.struct("comp", "w"), F.struct("m", "comp")).alias("main"), F.sum("w").alias("w"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / piece_bytes)).cast("int")
+    todo = todo.join(total.select("region", F.col("main.comp").alias("main"), blocks(F.col("w") - F.col("main.w")).alias("xs"), blocks(F.col("w")).alias("ys")), "region")
+    mine = lambda c: F.pmod(F.xxhash64("cls"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = todo.where("comp <> main").select("region", "cls", "comp", mine("xs").alias("x"), every("ys").alias("y"))
+    whole = todo.select("region", "cls", "comp", every("xs").alias("x"), mine("ys").alias("y"))
+    return left.unionByName(whole).select(F.xxhash64("region", "x", "y").alias("chunk"), "cls", "comp").distinct()
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -209,49 +289,6 @@ def settle(classes: list[bytes], sets: list[np.ndarray], sigs: np.ndarray, perce
     return links
 
 
-def _regions(members: DataFrame, limit: int, orders: int) -> DataFrame:
-    """(chunk, cls): the tasks in which links are looked for; `members` has cls, sig, root, n (classes of the cluster)."""
-    whole = members.where(F.col("n") <= limit).select(F.hex("root").alias("chunk"), "cls")
-    if members.where(F.col("n") > limit).limit(1).count() == 0:
-        return whole
-    hot = written(members.where(F.col("n") > limit), "hot")
-    depths = [1, 2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, PERMUTATIONS]
-    keys = written(_region_keys(hot, depths, [t * TREES // orders for t in range(orders)]).join(hot.select("cls", "root"), "cls"), "regions")
-    sizes = keys.groupBy("root", "tree", "depth", "key").agg(F.count("*").alias("m"))
-    # the shallowest depth at which the class's region fits; where even equal signatures are too many, they are dealt by class
-    fits = keys.join(sizes, ["root", "tree", "depth", "key"]).groupBy("root", "tree", "cls").agg(F.min_by(F.struct("depth", "key", "m"), F.when(F.col("m") <= limit, F.col("depth")).otherwise(F.lit(1000) - F.col("depth"))).alias("r"))
-    part = F.when(F.col("r.m") > limit, F.pmod(F.xxhash64("cls"), F.ceil(F.col("r.m") * 2 / limit))).otherwise(0)
-    pieces = fits.select("root", F.concat_ws("/", F.hex("root"), "tree", "r.depth", "r.key", part).alias("chunk"), "cls")
-    # hubs: of the classes of a cluster, those that agree with most of the commonest first values of the rotations
-    at_one = keys.where("depth = 1").join(sizes.where("depth = 1"), ["root", "tree", "depth", "key"])
-    common = at_one.groupBy("root", "tree").agg(F.max_by("key", F.struct("m", "key")).alias("key"))
-    agree = at_one.join(common, ["root", "tree", "key"], "left_semi").groupBy("root", "cls").agg(F.count("*").alias("agree"))
-    hubs = agree.withColumn("r", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("agree"), "cls"))).where("r <= 16")
-    with_hubs = pieces.select("root", "chunk").distinct().join(hubs.select("root", "cls"), "root").select("chunk", "cls")
-    return whole.unionByName(pieces.select("chunk", "cls")).unionByName(with_hubs).distinct()
-
-
-def _rest(members: DataFrame, joined: DataFrame, limit: int) -> DataFrame | None:
-    """(chunk, cls, comp): what is left of clusters over `limit` classes, against the whole cluster, in blocks.
-
-    Classes outside their cluster's largest component, some limit / 2 to a
-    block, meet every class of the cluster, some limit / 2 to a block.
-    """
-    hot = members.where(F.col("n") > limit).select("cls", "root", "n").join(joined.select(F.col("node").alias("cls"), F.col("root").alias("known")), "cls", "left")
-    hot = written(hot.select("cls", "root", "n", F.coalesce("known", "cls").alias("comp")), "hot")
-    sizes = hot.groupBy("root", "comp").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("root").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), (F.sum("m") - F.max("m")).alias("left"))
-    todo = hot.join(largest.where("left > 0"), "root")
-    if todo.limit(1).count() == 0:
-        return None
-    blocks = lambda c: F.ceil(F.col(c) * 2 / limit).cast("int")
-    mine = lambda c: F.pmod(F.xxhash64("cls"), blocks(c))
-    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    rest = todo.where("comp <> main").select("root", "cls", "comp", mine("left").alias("x"), every("n").alias("y"))
-    whole = todo.select("root", "cls", "comp", every("left").alias("x"), mine("n").alias("y"))
-    return rest.unionByName(whole).select(F.concat_ws("/", F.lit("rest"), F.hex("root"), "x", "y").alias("chunk"), "cls", "comp").distinct()
-
-
 def _links(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v): spanning forests of the links within each chunk of `tasks` (chunk, cls, comp)."""
 
@@ -264,25 +301,42 @@ def _links(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return grouped_stream(tasks.join(sets, "cls").select("chunk", "cls", "comp", "sig", "elems"), "chunk", handle, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, limit: int = 4000, orders: int = 16) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text)."""
-    spark = docs.sparkSession
-    short_batches(spark)
+def _components(docs: DataFrame, k: int, percent: int, orders: int, leaf: int, piece_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Of `docs` (row, doc_id, text): the rows (row, doc_id, n_shingles, cls), and (cls, first) with the first row of each class's component."""
+    short_batches(docs.sparkSession)
     rows = written(_rows(docs, k), "signatures")
-    classes = written(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    clusters = _clusters(classes)
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    members = written(clusters.join(sizes, "root").join(classes, F.col("node") == F.col("cls")).select("cls", "rep", "sig", "root", "n"), "members")
-    sets = _sets(docs, members, k).join(members.select("cls", "sig"), "cls")
-    links = written(_links(_regions(members, limit, orders).withColumn("comp", F.col("cls")), sets, percent), "links")
-    joined = components(links)
-    rest = None if members.where(F.col("n") > limit).limit(1).count() == 0 else _rest(members, joined, limit)
-    if rest is not None:
-        joined = components(links.unionByName(_links(rest, sets, percent)))
-    least = joined.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    classes = written(rows.where("cls is not null").groupBy("cls").agg(first, F.first("sig").alias("sig"), (F.first("n_shingles") * 8 + 4096).alias("weight")), "classes")
+    members = written(_members(classes), "members")
+    known = members.select("cls").distinct().join(classes, "cls").select("cls", F.col("first.doc_id").alias("rep"), "sig")
+    known = written(known, "known")
+    sets = written(_sets(docs, known, k).join(known.select("cls", "sig"), "cls"), "sets")
+    links = written(_links(_leaves(members, orders, leaf, piece_bytes).withColumn("comp", F.col("cls")), sets, percent), "links")
+    more = written(_links(_open_regions(members, components(links), piece_bytes), sets, percent), "links")
+    joined = written(components(links.unionByName(more)), "joined")
+    for table in (members, known, sets, links, more):
+        drop_written(table)
+    least = joined.join(classes.select(F.col("cls").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("least"))
     named = joined.join(least, "root").select(F.col("node").alias("cls"), "least")
-    ids = classes.join(named, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id"))
-    found = rows.where("cls is not null").select("doc_id", "n_shingles", "cls").join(ids, "cls").select("doc_id", "n_shingles", "component_id")
+    return rows, classes.select("cls", "first").join(named, "cls", "left").select("cls", F.coalesce("least", "first").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, orders: int = 4, leaf: int = 256, piece_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text)."""
+    rows, ids = _components(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), k, percent, orders, leaf, piece_bytes)
+    found = rows.where("cls is not null").select("doc_id", "n_shingles", "cls").join(ids, "cls").select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
     alone = rows.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = found.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def keep_rows(docs: DataFrame, k: int = 5, percent: int = 75, orders: int = 4, leaf: int = 256, piece_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of `docs`, all columns, but one row alone of each component.
+
+    Rows are told apart by a number that is written with them, not by doc_id, which may repeat or be missing.
+    """
+    row = column_free_name(docs, "row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows, ids = _components(numbered.select(F.col(row).alias("row"), "doc_id", "text"), k, percent, orders, leaf, piece_bytes)
+    stay = ids.select(F.col("first.row").alias(row)).distinct().unionByName(rows.where("cls is null").select(F.col("row").alias(row)))
+    return numbered.join(stay, row, "left_semi").select(*docs.columns)

@@ -337,9 +337,9 @@ def _components_brute(rows):
     return {d: (len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("limit", [4000, 25])
-def test_near_duplicates_are_brute_force(frame, limit):
-    """limit=25: the large cluster takes the way over sorted orders and hubs."""
+@pytest.mark.parametrize(("leaf", "piece_bytes"), [(256, 16 << 20), (10, 60_000)])
+def test_near_duplicates_are_brute_force(frame, leaf, piece_bytes):
+    """Small leaves and pieces: the large cluster is cut by depth and by class, and what is left is met in blocks."""
     rng = random.Random(8)
     rows = []
     for base in range(12):
@@ -348,7 +348,7 @@ def test_near_duplicates_are_brute_force(frame, limit):
     hub = [f"h{rng.randrange(2000)}" for _ in range(150)]
     rows += [(len(rows) + k, near_copy(hub, rng, 1 + k % 5)) for k in range(120)]
     rows += [(10_000 + k, t) for k, (_, t) in enumerate(EDGES)]
-    got = {r.doc_id: r for r in lsh_forest.near_duplicates(frame(rows), limit=limit).collect()}
+    got = {r.doc_id: r for r in lsh_forest.near_duplicates(frame(rows), leaf=leaf, piece_bytes=piece_bytes).collect()}
     want = _components_brute(rows)
     assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == want
     assert all(r.kept == (k == r.component_id) for k, r in got.items())
