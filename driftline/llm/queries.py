@@ -56,15 +56,16 @@ FROM placed WHERE hash_a IS DISTINCT FROM hash_b
 """
 
 
-#: Quantile of the trusted documents of a language, and room above it, in log10 of the perplexity for a byte.
+#: Quantile of the good documents of a language that the model has not seen, and room above it, in log10 of the perplexity for a token.
 OP2_QUANTILE, OP2_SLACK = 0.995, 0.1
 
 
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and threshold are both log10 for a token."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scored = written(kneser_ney.perplexities(docs, kneser_ney.fit(docs, labels)), "perplexity")
     out = kneser_ney.judge(scored, kneser_ney.thresholds(scored, labels, OP2_QUANTILE, OP2_SLACK))
-    return out.select("doc_id", "lang", "n_symbols", F.round(F.pow(F.lit(10.0), "log_ppl"), 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
+    return out.select("doc_id", "lang", "n_tokens", F.round("log_ppl", 9).alias("log10_perplexity"), F.round("threshold", 9).alias("log10_threshold"), "kept")
 
 
 def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

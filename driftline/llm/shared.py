@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,15 +22,19 @@ _local_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share.
 
-    Read from `spark.checkpoint.dir`; only where that is unset (tests on one
-    machine) a temporary folder of this process stands in.
+    Read from `spark.checkpoint.dir`; only where that is unset on one machine
+    (tests) a temporary folder of this process stands in, which goes with it.
+    On a cluster the setting is required.
     """
     global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set; driver and executors need a shared folder")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="driftline-")
+        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
     return "file://" + _local_dir
 
 
@@ -54,6 +60,37 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def of_lowest_hash(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """At most `n` different rows of `columns`, those of lowest hash; repeated rows count once.
+
+    Rows above a cut, estimated from the number of different hashes, are left
+    out first, so that about `n` rows in all reach the last task, not `n` from
+    each one before it.
+    """
+    rows = df.select(F.xxhash64(*columns).alias("_hash"), *columns)
+    different = rows.agg(F.approx_count_distinct("_hash", 0.02)).first()[0]
+    share = (1.2 * n + 1000) / max(different, 1)
+    if share < 1:
+        rows = rows.where(F.col("_hash") < int(share * 2.0**64) - (1 << 63))
+    return rows.distinct().orderBy("_hash", *columns).limit(n).select(*columns)
+
+
+def most_frequent(df: DataFrame, count: str, n: int) -> DataFrame:
+    """The rows of greatest `count` (over 0), at most `n` of them: all those from some bucket of counts up.
+
+    Buckets have a width of 1/16 in log2 of the count: a thousand rows, whatever the counts.
+    """
+    bucket = F.floor(F.log2(F.col(count)) * 16)
+    sizes = sorted(((r.b, r.n) for r in df.where(F.col(count) > 0).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    held, least = 0, None
+    for b, size in sizes:
+        held += size
+        if held > n:
+            break
+        least = b
+    return df.where("false") if least is None else df.where((F.col(count) > 0) & (bucket >= least))
+
+
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

@@ -15,6 +15,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from edges import EDGES
+from pyspark.sql import functions as F
 
 from driftline.llm import bpe, components, histogram_sort, hmm, isolation, kneser_ney, license_scan, lsh_forest, tiling, url_gbt, warc_fixity
 from driftline.llm import text as tx
@@ -84,69 +85,78 @@ def test_fixity_edges(spark):
 # --- 2 ----------------------------------------------------------------------
 
 
-def _kneser_ney_brute(texts: list[bytes]):
-    """Interpolated modified Kneser-Ney by dictionaries."""
-    grams = collections.Counter()
+def _kneser_ney_brute(texts: list[str]):
+    """Interpolated modified Kneser-Ney over words by dictionaries: probability of an n-gram's last word."""
+    three = collections.Counter()
     for t in texts:
-        s = (0,) * 3 + tuple(kneser_ney.SYMBOL[b] for b in t)
-        for i in range(3, len(s)):
-            grams[s[i - 3 : i + 1]] += 1
-    orders = [grams]
-    for _ in range(3):
-        orders.append(collections.Counter(g[1:] for g in orders[-1]))
-    discounts = []
-    for table in orders:
+        s = ["<s>", "<s>", *t.lower().split(), "</s>"]
+        three.update(zip(s, s[1:], s[2:]))
+    two, one = collections.Counter(), collections.Counter()
+    for (_, v, w), c in three.items():
+        two[v, w] += c if v == "<s>" else 1
+    for _, w in two:
+        one[(w,)] += 1
+    orders = {3: three, 2: two, 1: one}
+    cut = {}
+    for k, table in orders.items():
         n = collections.Counter(table.values())
         if not (n[1] and n[2]):
-            discounts.append([0.5] * 3)
+            cut[k] = [0.5] * 3
             continue
         y = n[1] / (n[1] + 2 * n[2])
         d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
-        discounts.append([min(max(x, 0.05), top) for x, top in zip(d, (0.95, 1.95, 2.95))])
-
-    def p(gram, k):
-        if not gram:
-            return 1 / 32
-        table, d = orders[k], discounts[k]
-        followers = {g: c for g, c in table.items() if g[:-1] == gram[:-1]}
-        total = sum(followers.values())
-        if not total:
-            return p(gram[1:], k + 1)
-        rest = sum(d[min(c, 3) - 1] for c in followers.values()) / total
-        c = table.get(gram, 0)
-        return (c - d[min(c, 3) - 1] if c else 0) / total + rest * p(gram[1:], k + 1)
-
-    return p
-
-
-def test_kneser_ney_is_brute_force(spark, frame):
-    texts = [b"the cat sat on the mat", b"the dog sat", b"A cat, 12 dogs!", b"on and on and on"]
-    model = kneser_ney.train(frame([(i, t.decode()) for i, t in enumerate(texts)]).select("text"))
-    p = _kneser_ney_brute(texts)
-    for t in (b"the cat", b"zebra!!", b"on the dog 7"):
-        s = (0,) * 3 + tuple(kneser_ney.SYMBOL[b] for b in t)
-        want = sum(math.log10(p(s[i - 3 : i + 1], 0)) for i in range(3, len(s)))
-        assert model.score([t])[0][0] == pytest.approx(want, rel=1e-4)
-    total = 10 ** model.table.reshape(-1, 32).astype(float)
-    assert np.allclose(total.sum(1), 1, atol=1e-3)
+        cut[k] = [min(max(x, 0.05), top) for x, top in zip(d, (0.95, 1.95, 2.95))]
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(one) + 1)
+        followers = [c for g, c in orders[k].items() if g[:-1] == gram[:-1]]
+        if not followers:
+            return p(gram[1:])
+        c, d = orders[k].get(gram, 0), cut[k]
+        return ((c - d[min(c, 3) - 1] if c else 0) + sum(d[min(x, 3) - 1] for x in followers) * p(gram[1:])) / sum(followers)
+
+    return p, set(w for (w,) in one)
+
+
+@pytest.mark.parametrize("head", [kneser_ney.HEAD, 12])
+def test_kneser_ney_is_brute_force(spark, frame, monkeypatch, head):
+    """With a head of 12 n-grams nearly all values come through the join."""
+    monkeypatch.setattr(kneser_ney, "HEAD", head)
+    rng = random.Random(21)
+    texts = ["the cat sat on the mat", "The dog sat", "a cat and 12 dogs", "on and on and on", "猫 は 黒い"] + [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 12))) for _ in range(25)]
+    model = kneser_ney.train(frame(list(enumerate(texts))).select("text"))
+    p, vocabulary = _kneser_ney_brute(texts)
+    asked = ["the cat", "zebra !!", "on the dog 7", "a b c d e f g h", "猫 は", "は 猫 白い", "a", "on and on and on"]
+    got = {r.doc_id: r for r in kneser_ney.perplexities(frame(list(enumerate(asked))), model).collect()}
+    for i, t in enumerate(asked):
+        s = ["<s>", "<s>", *t.split(), "</s>"]
+        want = sum(math.log10(p(g)) for g in zip(s, s[1:], s[2:]))
+        assert got[i].n_tokens == len(s) - 2 and got[i].log_ppl == pytest.approx(-want / (len(s) - 2))
+    words = [*vocabulary, "unknown"]
+    for u, v in [("<s>", "<s>"), ("<s>", "the"), ("the", "cat"), ("a", "b"), ("zebra", "a"), ("x", "y")]:
+        assert sum(p((u, v, w)) for w in words) == pytest.approx(1)
 
 
 def test_classifier_keeps_prose_and_drops_noise(spark, frame):
     rng = random.Random(1)
-    words = ["the", "of", "water", "river", "light", "under", "green", "stone", "house"]
-    prose = [" ".join(rng.choice(words) for _ in range(30)) + "." for _ in range(200)]
-    noise = ["".join(rng.choice("#$%&*<>|@^~") for _ in range(150)) for _ in range(20)]
-    docs = frame([*enumerate(prose), *((1000 + i, t) for i, t in enumerate(noise)), *((2000 + k, t) for k, (_, t) in enumerate(EDGES))])
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
-    model = kneser_ney.fit(docs, labels)
-    scored = kneser_ney.perplexities(docs, model)
-    bounds = kneser_ney.thresholds(scored, labels, 0.99, 0.1)
-    judged = {r.doc_id: r.kept for r in kneser_ney.judge(scored, bounds).collect()}
-    assert sum(judged[i] for i in range(200)) >= 198 and not any(judged[1000 + i] for i in range(20))
-    kept = {r.doc_id for r in kneser_ney.keep_rows(docs, model, bounds).collect()}
-    assert kept == {k for k, v in judged.items() if v}
-    assert not judged[2001] and not judged[2002]
-    assert kneser_ney.judge(scored.where("false"), bounds).count() == 0
+    alphabets = {"en": ["the", "of", "water", "river", "light", "under", "green", "stone", "house"], "ru": ["и", "река", "вода", "свет", "дом", "камень", "под"]}
+    prose = {k: [" ".join(rng.choice(w) for _ in range(30)) + " ." for _ in range(400)] for k, w in alphabets.items()}
+    noise = [" ".join("".join(rng.choice("#$%&*<>|@ウкш中é") for _ in range(8)) for _ in range(20)) for _ in range(20)]
+    docs = frame(list(enumerate(prose["en"]))).union(frame([(5000 + i, t) for i, t in enumerate(prose["ru"])], "ru"))
+    docs = docs.union(frame([(10000 + i, t) for i, t in enumerate(noise)], "ru")).union(frame(EDGES, None)).withColumn("row", F.lit("clashes"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(300), *range(5000, 5300)]] + [(None, 1, 0), (3, 1, None), (4, None, None)], "doc_id long, quality int, toxic int")
+    scored = kneser_ney.perplexities(docs, kneser_ney.fit(docs, labels)).cache()
+    judged = kneser_ney.judge(scored, kneser_ney.thresholds(scored, labels, 0.99, 0.1)).collect()
+    assert len(judged) == docs.count()
+    kept = collections.Counter(r.doc_id for r in judged if r.kept)
+    assert sum(kept[i] for i in [*range(20, 400), *range(5000, 5400)]) >= 760 and not any(kept[10000 + i] for i in range(20))
+    assert not any(r.kept for r in judged if not r.n_tokens) and sum(not r.n_tokens for r in judged) == 3
+    rows = kneser_ney.keep_rows(docs, labels, 0.99, 0.1)
+    assert rows.columns == docs.columns and collections.Counter(r.doc_id for r in rows.collect()) == kept
+    assert kneser_ney.keep_rows(docs.where("false"), labels, 0.99, 0.1).count() == 0
+    assert kneser_ney.keep_rows(docs, labels.where("false"), 0.99, 0.1).where("text is null or text = ''").count() == 0
 
 
 # --- 3 ----------------------------------------------------------------------
@@ -436,7 +446,7 @@ def test_language_scores(spark, frame):
     one, two = ([f"{c}{k}" for k in range(60)] for c in "ab")
     rows = [(i, " ".join(rng.choice(one if i % 2 else two) for _ in range(60))) for i in range(300)]
     rows += [(1000 + k, t) for k, (_, t) in enumerate(EDGES[:-1])]
-    got = {r.doc_id: r for r in hmm.language_scores(frame(rows), states=2, head=40, sample=200).collect()}
+    got = {r.doc_id: r for r in hmm.language_scores(frame(rows), states=2, head=40).collect()}
     words = {i: (t or "").encode().lower().split() + [None] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in words}
     c = collections.Counter(w for i, ws in words.items() if not held[i] for w in ws)
