@@ -4,6 +4,12 @@ Every stage takes (spark, docs, sf_dir), works on all rows that its
 predecessor kept, and returns documents' own columns; the last returns the
 encoded documents.  Each result is written as Parquet and read again as the
 next stage's documents.
+
+Defined results: null and empty texts, and those of fewer than ten words, go in
+the first stage; rows with a null or repeated doc_id are rows like any other in
+every stage; exact copies are near copies; of ties the first read stays; empty
+tables of documents, labels or benchmark give empty results, no threshold and
+nothing to drop, in this order; other columns stay until the last stage.
 """
 
 from __future__ import annotations
@@ -23,17 +29,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose perplexity is within their language's threshold."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = kneser_ney.fit(docs, labels)
-    scored = written(kneser_ney.perplexities(docs, model), "perplexity")
-    return kneser_ney.keep_rows(docs, model, kneser_ney.thresholds(scored, labels, OP2_QUANTILE, OP2_SLACK))
+    """Keeps documents whose perplexity is within their language's threshold; texts without words go."""
+    return kneser_ney.keep_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), OP2_QUANTILE, OP2_SLACK)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group of near copies."""
-    gone = lsh_forest.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near copies, that of least doc_id, nulls last; of rows that repeat this id, the first read.
+
+    Rows are told apart by themselves, so that other texts with a repeated or missing doc_id stay.
+    """
+    return lsh_forest.keep_rows(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
