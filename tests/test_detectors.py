@@ -105,6 +105,23 @@ def test_lcdd_batch_and_online_are_the_state_machine():
         assert [x for r in cases for x in machine.feed(frozenset(r))] == want
 
 
+def test_lcdd_stable_period_places_the_cut():
+    """Relations 1 and 2 end at case 12, 3 and 4 at case 20 of a detection window that begins at 10."""
+    cases = [{0, 1, 2, 3, 4}] * 12 + [{0, 3, 4}] * 8 + [{0}] * 30
+    assert detectors.lcdd_points(cases, 5, 5, "compat") == []
+    assert detectors.lcdd_points(cases, 10, 12, "paper", 20)[0] == 20
+    assert detectors.lcdd_points(cases, 10, 12, "paper", 4)[0] == 12
+    assert detectors.lcdd_points(cases, 10, 5, "paper", 4)[0] == 12
+
+
+def test_adaptive_windows():
+    same = lambda a, b, c: 1.0
+    tried = []
+    assert detectors.adwin_points(lambda *x: tried.append(x) or 1.0, 30, 3, 7, 0.1, 2) == []
+    assert tried == [(0, 3, 6), (0, 5, 10), (0, 7, 14), (7, 10, 14), (7, 12, 18), (7, 14, 22), (14, 18, 22), (14, 20, 26), (14, 22, 30)]
+    assert detectors.adwin_points(same, 6, 3, 7, 0.1, 2) == []
+
+
 def _rinv_literal(row: list[int], mrid: int) -> set[int]:
     out, begin = set(), 1
     for j in range(2, len(row) + 1):
@@ -141,8 +158,9 @@ def test_adaptive_detectors_find_a_swap(spark):
     assert detectors.adwin(log, 40, 120, 0.2, 10, "WC").count() > 0
     assert points(detectors.pgm(log, 60, 200, 0.01))
     assert near(points(detectors.bose(log, 60, "WC", "ks", 1)), 150, 40)
-    with pytest.raises(Exception, match="two windows"):
-        detectors.adwin(log, 150, 200, 0.4, 10, "WC").collect()
+    both = log.unionByName(make_log(spark, ["ab"] * 5, "short"))
+    assert {r.log_id for r in detectors.adwin(both, 40, 120, 0.2, 10, "WC").collect()} == {"log"}
+    assert points(detectors.adwin(log, 150, 200, 0.4, 10, "WC")) == []
 
 
 def test_locate_change():
