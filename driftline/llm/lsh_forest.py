@@ -306,7 +306,7 @@ def _components(docs: DataFrame, k: int, percent: int, orders: int, leaf: int, p
     short_batches(docs.sparkSession)
     rows = written(_rows(docs, k), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    classes = written(rows.where("cls is not null").groupBy("cls").agg(first, F.first("sig").alias("sig"), (F.first("n_shingles") * 8 + 4096).alias("weight")), "classes")
+    classes = written(rows.where("cls is not null").groupBy("cls").agg(first, F.first("sig").alias("sig"), (F.first("n_shingles") * 8 + 32768).alias("weight")), "classes")
     members = written(_members(classes), "members")
     known = members.select("cls").distinct().join(classes, "cls").select("cls", F.col("first.doc_id").alias("rep"), "sig")
     known = written(known, "known")
