@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import binary_chunks, short_batches
+from .shared import binary_chunks, of_lowest_hash, short_batches
 
 #: Characters counted as symbols (fixed by the contract).
 SYMBOLS = b"#*$%&|<>"
@@ -89,14 +89,19 @@ def rule_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+#: Shares of repeated lines and words that ordinary texts may have; what is beyond counts.
+ORDINARY_LINES, ORDINARY_WORDS = 0.3, 0.1
+
+
 def features(stats: dict[str, np.ndarray]) -> np.ndarray:
     """Ratios only, so that long texts are not odd for their length; digits are left out, since numbers are no fault.
 
-    Repetition counts in halves, since a little of it is ordinary.
+    Symbols and capitals a character, repeated lines and words beyond what is ordinary, and mean word length.
     """
     v = {k: x.astype(np.float64) for k, x in stats.items()}
     words, chars, rows = (np.maximum(v[k], 1) for k in ("n_words", "word_chars", "n_lines"))
-    return np.column_stack([v["n_symbols"] / chars, np.floor(2 * v["n_dup_lines"] / rows), np.floor(2 * v["n_repeat_words"] / words), v["n_upper"] / chars])
+    beyond = lambda x, ordinary: np.maximum(x - ordinary, 0.0)
+    return np.column_stack([v["n_symbols"] / chars, beyond(v["n_dup_lines"] / rows, ORDINARY_LINES), beyond(v["n_repeat_words"] / words, ORDINARY_WORDS), v["n_upper"] / chars, chars / words])
 
 
 def base_failed(stats: dict[str, np.ndarray]) -> np.ndarray:
@@ -189,12 +194,12 @@ def threshold_from(good: np.ndarray, bad: np.ndarray, false_rate: float) -> floa
 
 
 def fit(table: DataFrame, labels: DataFrame, n_trees: int = 100, sample_size: int = 256, false_rate: float = 0.005, seed: int = 7) -> RuleModel:
-    """Forest from `n_trees * sample_size` rows at most (those of lowest hash), threshold from every labelled row.
+    """Forest from `n_trees * sample_size` rows at most (different ones, of lowest hash), threshold from every labelled row.
 
     table: of `rule_table`.  labels: doc_id, quality (0: bad).
     """
     spark = table.sparkSession
-    rows = table.select(F.xxhash64("doc_id", *STATISTICS).alias("h"), *STATISTICS).orderBy("h", *STATISTICS).limit(n_trees * sample_size).toPandas()
+    rows = of_lowest_hash(table, n_trees * sample_size, "doc_id", *STATISTICS).toPandas()
     forest = grow(features({s: rows[s].to_numpy(np.int64) for s in STATISTICS}), n_trees, sample_size, seed)
     model = spark.sparkContext.broadcast(RuleModel(forest, np.inf))
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
