@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import stats
@@ -12,10 +12,12 @@ from driftline.functions import stats
 def encoded(trace_table: DataFrame) -> DataFrame:
     """`trace_table` with code: a string with one character for each event, for the built-in `levenshtein`.
 
-    Characters are given by the rank of the activity in the log (of at most 55,000).
+    Characters are given by the rank of the activity in the log.  More than
+    55,000 activities of one log do not fit below the surrogates: an error.
     """
     acts = trace_table.select("log_id", F.explode("trace").alias("x")).distinct()
     table = acts.groupBy("log_id").agg(F.array_sort(F.collect_set("x")).alias("acts"))
+    table = table.withColumn("acts", F.when(F.size("acts") <= 55_000, F.col("acts")).otherwise(F.raise_error(F.lit("a log of more than 55,000 activities"))))
     char = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position("acts", x) + 255), 4, "0")), "UTF-16BE")
     return trace_table.join(table, "log_id").withColumn("code", F.array_join(F.transform("trace", char), "")).drop("acts")
 
@@ -30,13 +32,20 @@ def variant_distances(variant_table: DataFrame) -> DataFrame:
     return pairs.select("log_id", "v1", "v2", "lev", F.when(longest == 0, 0.0).otherwise(F.col("lev") / longest).alias("distance"))
 
 
+def window_starts(w: int, step: int) -> Column:
+    """The multiples of `step` from which on 2 * w cases hold case_idx."""
+    first = F.ceil(F.greatest(F.lit(0), F.col("case_idx") - 2 * w + 1) / step) * step
+    last = F.floor(F.col("case_idx") / step) * step
+    return F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"), F.lit(step).cast("long")))
+
+
 def window_language(case_variant: DataFrame, w: int, step: int = 1) -> DataFrame:
     """log_id, pos, side, variant_id, p: the stochastic languages of both windows at each position evaluated."""
     n = Window.partitionBy("log_id")
     data = case_variant.withColumn("n", F.max("case_idx").over(n) + 1)
     return (
-        data.withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("case_idx") - 2 * w + 1), F.col("case_idx"))))
-        .where((F.col("start") % step == 0) & (F.col("start") < F.col("n") - 2 * w))
+        data.withColumn("start", F.explode(window_starts(w, step)))
+        .where(F.col("start") < F.col("n") - 2 * w)
         .groupBy("log_id", "start", (F.col("case_idx") >= F.col("start") + w).cast("int").alias("side"), "variant_id")
         .agg((F.count("*") / w).alias("p"))
         .select("log_id", (F.col("start") + w).alias("pos"), "side", "variant_id", "p")

@@ -171,11 +171,3 @@ def degrees(relation: DataFrame, by: str = "log_id") -> DataFrame:
     """In- and out-degree of each activity."""
     ends = relation.select(by, F.col("a").alias("x"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(relation.select(by, F.col("b").alias("x"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return ends.groupBy(by, F.col("x").alias("activity")).agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
-
-
-def window_runs(trace_table: DataFrame, concurrent_of: DataFrame) -> DataFrame:
-    """Runs with the concurrency of each sub-log: `trace_table` and the pairs carry the sub-log in log_id."""
-    return runs(trace_table, concurrent_of)
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Iterator", "pd", "DataFrame", "Window", "F", "eventlog")]

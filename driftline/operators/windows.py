@@ -120,13 +120,6 @@ def padded(p: DataFrame, lengths: DataFrame, fill: float = 1.0, value: str = "pv
     return grid.join(p.withColumnRenamed("pos", "case_idx"), ["log_id", "case_idx"], "left").select("log_id", "case_idx", F.coalesce(value, F.lit(fill)).alias(value))
 
 
-def mean_p(p: DataFrame, n_series: int | None = None) -> DataFrame:
-    """log_id, pos, pval: mean over the series.  n_series: all of them, where constant ones (p = 1) were left out."""
-    if n_series is None:
-        return p.groupBy("log_id", "pos").agg(F.avg("pval").alias("pval"))
-    return p.groupBy("log_id", "pos").agg(((F.sum("pval") + (n_series - F.count("*"))) / n_series).alias("pval"))
-
-
 def streaks(p: DataFrame, alpha: float, phi: int, by: tuple[str, ...] = ("log_id",)) -> DataFrame:
     """by, pos: where the phi-th value in a row under alpha stands (compact series: neighbours by position)."""
     order = Window.partitionBy(*by).orderBy("pos")

@@ -31,13 +31,27 @@ def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.from_table(t, "conv_id", "role", ["turn"], "chat")
 
 
-def drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole order log with two activities swapped from the middle on."""
-    e = order_log(spark, sf_dir)
+def _drifting(e: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """A whole log in which, from half of its cases on, y is called z and x is called y."""
     n = eventlog.log_lengths(e).select("log_id", F.col("n_cases").alias("n"))
-    swapped = F.when(F.col("activity") == "NO", "AF").when(F.col("activity") == "AF", "NO").otherwise(F.col("activity"))
     late = F.col("case_idx") >= F.col("n") / 2
-    return e.join(F.broadcast(n), "log_id").withColumn("activity", F.when(late, swapped).otherwise(F.col("activity"))).select(*e.columns)
+    renamed = F.when(F.col("activity") == x, y).when(F.col("activity") == y, z).otherwise(F.col("activity"))
+    return e.join(F.broadcast(n), "log_id").withColumn("activity", F.when(late, renamed).otherwise(F.col("activity"))).select(*e.columns)
+
+
+def drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole order log with a drift in the middle."""
+    return _drifting(order_log(spark, sf_dir), "AF", "NO", "XO")
+
+
+def user_drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole user log with a drift in the middle."""
+    return _drifting(user_log(spark, sf_dir), "click", "view", "scroll")
+
+
+def chat_drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chat log with a drift in the middle."""
+    return _drifting(chat_log(spark, sf_dir), "user", "assistant", "tool")
 
 
 def choice_log(spark: SparkSession) -> DataFrame:
@@ -66,6 +80,10 @@ _LOGS = {
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS evt_idx,
   dense_rank() OVER (ORDER BY conv_id) - 1 AS case_idx FROM conversations)""",
 }
+_DRIFTS = {"drift": ("order", "AF", "NO", "XO"), "user_drift": ("user", "click", "view", "scroll"), "chat_drift": ("chat", "user", "assistant", "tool")}
+for _name, (_log, _x, _y, _z) in _DRIFTS.items():
+    _LOGS[_name] = _LOGS[_log] + f""", {_name}_ AS (SELECT * REPLACE (CASE WHEN case_idx < n / 2 THEN activity WHEN activity = '{_x}' THEN '{_y}' WHEN activity = '{_y}' THEN '{_z}' ELSE activity END AS activity)
+  FROM {_log}_, (SELECT count(DISTINCT case_idx) AS n FROM {_log}_))"""
 _DF = """df AS (SELECT * FROM (SELECT log_id, case_idx, activity AS a, lead(activity) OVER (PARTITION BY case_idx ORDER BY evt_idx) AS b FROM {t}) WHERE b IS NOT NULL)"""
 
 
@@ -238,7 +256,15 @@ def _(spark, d):
     return relations.degrees(relations.directly_follows(order_log(spark, d)))
 
 
-@query("runs")
+_RUNS = """conc AS (SELECT DISTINCT x.a, x.b FROM df x JOIN df y ON x.a = y.b AND x.b = y.a),
+edge AS (SELECT x.case_idx, x.evt_idx AS i, y.evt_idx AS j, x.activity AS a, y.activity AS b FROM {t} x JOIN {t} y ON x.case_idx = y.case_idx AND x.evt_idx < y.evt_idx LEFT JOIN conc c ON c.a = x.activity AND c.b = y.activity WHERE c.a IS NULL),
+reach AS (SELECT case_idx, i, j FROM edge UNION SELECT r.case_idx, r.i, e.j FROM reach r JOIN edge e ON e.case_idx = r.case_idx AND e.i = r.j),
+longer AS (SELECT DISTINCT m.case_idx, m.i, r.j FROM edge m JOIN reach r ON r.case_idx = m.case_idx AND r.i = m.j),
+red AS (SELECT DISTINCT e.case_idx, a, b FROM edge e LEFT JOIN longer l ON l.case_idx = e.case_idx AND l.i = e.i AND l.j = e.j WHERE l.i IS NULL),
+runs AS (SELECT c.case_idx, coalesce(string_agg(a || '>' || b, ';' ORDER BY a, b), '') AS run FROM (SELECT DISTINCT case_idx FROM {t}) c LEFT JOIN red USING (case_idx) GROUP BY 1)"""
+
+
+@query("runs", _sql("chat", " SELECT 'chat' AS log_id, run, count(*) AS freq FROM runs GROUP BY 2", _DF, _RUNS))
 def _(spark, d):
     e = chat_log(spark, d)
     return relations.case_runs(eventlog.traces(e), relations.concurrency(relations.directly_follows(e))).groupBy("log_id", "run").agg(F.count("*").alias("freq"))
@@ -318,9 +344,16 @@ def _(spark, d):
     return windows.mw_statistic(windows.two_windows(_signal(spark, d), _W)).withColumns({"u": F.col("u").cast("double"), "ties": F.col("ties").cast("double")})
 
 
-@query("mannwhitney_pvalue")
+#: Upper tail of the gamma distribution with shape {a} at {x}, by the series of the lower one.
+_TAIL = "CASE WHEN {x} <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 200 + CAST(2 * {x} AS BIGINT)), lambda i: exp(({a} + i) * ln({x}) - {x} - lgamma({a} + i + 1))))) END"
+_MW = """mw AS (SELECT *, (abs(u - {w} * {w} / 2) - 0.5) / sqrt({w} * {w} / 12 * (2 * {w} + 1 - ties / (2 * {w} * (2 * {w} - 1)))) AS z, 2 * {w} * (2 * {w} - 1) * (2 * {w} + 1) AS all_tied FROM (SELECT series, pos, sum(c1 * (l + c2 / 2)) AS u, CAST(sum(pow(c1 + c2, 3) - (c1 + c2)) AS DOUBLE) AS ties
+  FROM (SELECT *, coalesce(sum(c2) OVER (PARTITION BY series, pos ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM cnt) GROUP BY 1, 2))"""
+_MW_P = "CASE WHEN ties >= all_tied OR z <= 0 THEN 1.0 ELSE " + _TAIL.replace("{a}", "0.5").replace("{x}", "(z * z / 2)") + " END"
+
+
+@query("mannwhitney_pvalue", _sql("order", " SELECT 'order' AS log_id, series, pos, round(" + _MW_P + ", 9) AS pval FROM mw", _WC.replace("cnt AS (SELECT i + {w} AS pos", "cnt AS (SELECT 'NO>NO' AS series, i + {w} AS pos").replace("WHERE c2 IS NOT NULL)", "WHERE c2 IS NOT NULL AND i % 5 = 0)"), _MW).replace("{w}", str(_W)))
 def _(spark, d):
-    return windows.p_values(_signal(spark, d), _W, 5, "mw")
+    return windows.p_values(_signal(spark, d), _W, 5, "mw").withColumn("pval", F.round("pval", 9))
 
 
 _CHI = "SELECT 'order' AS log_id, 'NO>NO' AS series, pos, round(CASE WHEN count(*) = 2 THEN sum(2 * pow(greatest(0, abs(c1 - c2) / 2 - 0.5), 2) / ((c1 + c2) / 2)) ELSE sum(pow(c1 - c2, 2) / (c1 + c2)) END, 9) AS chi2, count(*) - 1 AS dof FROM cnt WHERE c1 + c2 > 0 GROUP BY pos"
@@ -342,67 +375,147 @@ def _(spark, d):
     return windows.streaks(p, 0.3, 5)
 
 
-@query("hotelling_sliding")
+_HOTELLING = """s2 AS (SELECT x.case_idx AS i, x.v AS x, y.v AS y FROM sig x JOIN sig y ON x.case_idx = y.case_idx AND x.series = 'click>view' AND y.series = 'view>click'),
+m AS (SELECT b.i AS s, {g} AS dummy, avg(x) FILTER (a.i < b.i + {w}) AS x1, avg(x) FILTER (a.i >= b.i + {w}) AS x2, avg(y) FILTER (a.i < b.i + {w}) AS y1, avg(y) FILTER (a.i >= b.i + {w}) AS y2,
+  (var_samp(x) FILTER (a.i < b.i + {w}) + var_samp(x) FILTER (a.i >= b.i + {w})) / 2 AS xx, (var_samp(y) FILTER (a.i < b.i + {w}) + var_samp(y) FILTER (a.i >= b.i + {w})) / 2 AS yy,
+  (covar_samp(x, y) FILTER (a.i < b.i + {w}) + covar_samp(x, y) FILTER (a.i >= b.i + {w})) / 2 AS xy
+  FROM (SELECT i FROM s2 WHERE i % 2 = 0 AND i < (SELECT max(i) + 1 FROM s2) - 2 * {w}) b JOIN s2 a ON a.i BETWEEN b.i AND b.i + 2 * {w} - 1 GROUP BY b.i),
+t AS (SELECT s + {w} AS pos, {w} / 2 * (yy * pow(x1 - x2, 2) - 2 * xy * (x1 - x2) * (y1 - y2) + xx * pow(y1 - y2, 2)) / (xx * yy - xy * xy) AS t2 FROM m)"""
+
+
+@query("hotelling_sliding", _sql("user", ", sig AS (SELECT a || '>' || b AS series, case_idx, coalesce(n_f, 0) AS v FROM grid LEFT JOIN f USING (case_idx, a, b)), " + _HOTELLING + " SELECT 'user' AS log_id, pos, round(t2, 6) AS t2, round(pow(1 + t2 / (2 * {w} - 2), -(2 * {w} - 3) / 2), 6) AS pval FROM t", _SF).replace("{w}", "20").replace("{g}", "1"))
 def _(spark, d):
-    return windows.sliding_hotelling(detectors.signals(chat_log(spark, d), "WC"), 20, 2)
+    """Over two signals, where the F distribution's tail has a closed form."""
+    pairs = spark.createDataFrame([("user", "click", "view"), ("user", "view", "click")], "log_id string, a string, b string")
+    out = windows.sliding_hotelling(detectors.signals(user_log(spark, d), "WC", pairs), 20, 2)
+    return out.withColumns({"t2": F.round("t2", 6), "pval": F.round("pval", 6)})
 
 
 # --- detectors --------------------------------------------------------------
 
+_SIG_WC = "sig AS (SELECT a || '>' || b AS series, case_idx, CAST(coalesce(n_f, 0) AS DOUBLE) AS v FROM grid LEFT JOIN f USING (case_idx, a, b))"
+_SIG_J = "sig AS (SELECT a || '>' || b AS series, case_idx, round(value, 12) AS v FROM jv)"
+#: From sig (series, case_idx, v): how often each value occurs in both windows, and the largest difference of the running counts.
+_CNT = """vals AS (SELECT DISTINCT series, v FROM sig), pre AS (SELECT s.series, s.case_idx, x.v, sum(CAST(s.v = x.v AS INT)) OVER (PARTITION BY s.series, x.v ORDER BY s.case_idx) - CAST(s.v = x.v AS INT) AS p FROM sig s JOIN vals x ON s.series = x.series),
+cnt AS (SELECT series, i + {w} AS pos, v, c1, c2 FROM (SELECT series, case_idx AS i, v, lead(p, {w}) OVER q - p AS c1, lead(p, 2 * {w}) OVER q - lead(p, {w}) OVER q AS c2 FROM pre WINDOW q AS (PARTITION BY series, v ORDER BY case_idx)) WHERE c2 IS NOT NULL AND i % {step} = 0),
+ks AS (SELECT series, pos, max(abs(d)) AS h FROM (SELECT series, pos, sum(c1 - c2) OVER (PARTITION BY series, pos ORDER BY v) AS d FROM cnt) GROUP BY 1, 2)"""
+_MEAN_KS = "mp AS (SELECT pos, round(avg(" + _KS_P + "), 12) AS pval FROM ks GROUP BY 1)"
+_MEAN_MW = "mp AS (SELECT pos, round(avg(" + _MW_P + "), 12) AS pval FROM mw GROUP BY 1)"
+#: From xs (i, x): maxima (middles of plateaus), their prominence and their width at half of it.
+_PEAKS = """pl AS (SELECT min(i) AS s, max(i) AS e, any_value(x) AS x FROM (SELECT i, x, sum(c) OVER (ORDER BY i) AS g FROM (SELECT i, x, CASE WHEN x = lag(x) OVER (ORDER BY i) THEN 0 ELSE 1 END AS c FROM xs)) GROUP BY g),
+pk AS (SELECT (s + e) // 2 AS p, x FROM (SELECT *, lag(x) OVER (ORDER BY s) AS a, lead(x) OVER (ORDER BY s) AS b FROM pl) WHERE x > a AND x > b),
+lim AS (SELECT p, k.x, coalesce((SELECT max(y.i) + 1 FROM xs y WHERE y.i < p AND y.x > k.x), 0) AS lo, coalesce((SELECT min(y.i) - 1 FROM xs y WHERE y.i > p AND y.x > k.x), (SELECT max(i) FROM xs)) AS hi FROM pk k),
+prom AS (SELECT *, m.x - greatest((SELECT min(y.x) FROM xs y WHERE y.i BETWEEN lo AND p), (SELECT min(y.x) FROM xs y WHERE y.i BETWEEN p AND hi)) AS pr FROM lim m),
+lev AS (SELECT *, x - pr / 2 AS lv FROM prom),
+edge AS (SELECT *, coalesce((SELECT max(y.i) FROM xs y WHERE y.i BETWEEN lo AND p AND y.x <= lv), lo) AS l, coalesce((SELECT min(y.i) FROM xs y WHERE y.i BETWEEN p AND hi AND y.x <= lv), hi) AS r FROM lev),
+wide AS (SELECT e.p, e.pr, CASE WHEN r0.x < lv THEN r - (lv - r0.x) / (r1.x - r0.x) ELSE r END - CASE WHEN l0.x < lv THEN l + (lv - l0.x) / (l1.x - l0.x) ELSE l END AS width
+  FROM edge e JOIN xs l0 ON l0.i = l JOIN xs l1 ON l1.i = l + 1 JOIN xs r0 ON r0.i = r JOIN xs r1 ON r1.i = r - 1)"""
+
+
+def _with(sql: str, w: int, step: int = 1) -> str:
+    return sql.replace("{w}", str(w)).replace("{step}", str(step))
 
-@query("bose_avg_pvalue")
+
+@query("bose_avg_pvalue", _with(_sql("chat", " SELECT 'chat' AS log_id, pos, round(pval, 9) AS pval FROM mp", _SF, _J, _SIG_J, _CNT, _MEAN_KS), 20, 2))
 def _(spark, d):
-    return detectors.bose_p(chat_log(spark, d), 20, "J", "ks", 2)
+    return detectors.bose_p(chat_log(spark, d), 20, "J", "ks", 2).withColumn("pval", F.round("pval", 9))
 
 
-@query("bose_wc_mw_pvalue")
+@query("bose_wc_mw_pvalue", _with(_sql("chat", " SELECT 'chat' AS log_id, pos, round(pval, 9) AS pval FROM mp", _SF, _SIG_WC, _CNT, _MW, _MEAN_MW), 20))
 def _(spark, d):
-    return detectors.bose_p(chat_log(spark, d), 20, "WC", "mw", 1)
+    return detectors.bose_p(chat_log(spark, d), 20, "WC", "mw", 1).withColumn("pval", F.round("pval", 9))
 
 
-@query("bose_changepoints")
+@query("bose_changepoints", _with(_sql("drift", " SELECT 'order' AS log_id, CAST(p AS DOUBLE) AS change_point FROM wide WHERE width >= 80 AND pr >= 0.1", _SF, _SIG_WC, _CNT, _MEAN_KS, "xs AS (SELECT c.case_idx AS i, -coalesce(pval, 1.0) AS x FROM (SELECT DISTINCT case_idx FROM {t}) c LEFT JOIN mp ON pos = case_idx)", _PEAKS), 300))
 def _(spark, d):
-    return detectors.bose(coin_log(spark), 100, "WC", "ks", 2)
+    return detectors.bose(drift_log(spark, d), 300, "WC", "ks", 1)
+
+
+@query("bose_step_changepoints", _with(_sql("drift", " SELECT 'order' AS log_id, CAST(p * 10 + 300 AS DOUBLE) AS change_point FROM wide WHERE width >= 8 AND pr >= 0.1", _SF, _SIG_WC, _CNT, _MEAN_KS, "xs AS (SELECT (pos - 300) // 10 AS i, -pval AS x FROM mp)", _PEAKS), 300, 10))
+def _(spark, d):
+    return detectors.bose(drift_log(spark, d), 300, "WC", "ks", 10)
 
 
 @query("martjushev_changepoints")
 def _(spark, d):
-    return detectors.martjushev(coin_log(spark), 50, 0.2, "WC")
+    return detectors.martjushev(user_drift_log(spark, d), 40, 0.4, "WC")
+
+
+@query("martjushev_univariate_changepoints")
+def _(spark, d):
+    pair = spark.createDataFrame([("user", "click", "click")], "log_id string, a string, b string")
+    return detectors.martjushev_univariate(detectors.signals(user_drift_log(spark, d), "WC", pair), 40, 0.05)
 
 
 @query("adwin_changepoints")
 def _(spark, d):
-    return detectors.adwin(coin_log(spark), 50, 200, 0.2, 10, "WC")
+    return detectors.adwin(user_drift_log(spark, d), 30, 60, 0.4, 10, "WC")
 
 
 @query("adwin_jumping_changepoints")
 def _(spark, d):
-    return detectors.adwin(coin_log(spark), 50, 200, 0.2, 10, "WC", variant="jumping")
+    return detectors.adwin(user_drift_log(spark, d), 30, 60, 0.4, 10, "WC", variant="jumping")
+
 
+#: Chi-square of the runs of both windows, from rcnt (pos, run, c1, c2).
+_RUN_P = """rv AS (SELECT DISTINCT run FROM runs), rpre AS (SELECT s.case_idx, x.run, sum(CAST(s.run = x.run AS INT)) OVER (PARTITION BY x.run ORDER BY s.case_idx) - CAST(s.run = x.run AS INT) AS p FROM runs s, rv x),
+rcnt AS (SELECT i + {w} AS pos, run, c1, c2 FROM (SELECT case_idx AS i, run, lead(p, {w}) OVER q - p AS c1, lead(p, 2 * {w}) OVER q - lead(p, {w}) OVER q AS c2 FROM rpre WINDOW q AS (PARTITION BY run ORDER BY case_idx)) WHERE c2 IS NOT NULL AND i % {step} = 0)"""
+_CHI_P = """chi AS (SELECT pos, CASE WHEN count(*) = 2 THEN sum(2 * pow(greatest(0, abs(c1 - c2) / 2 - 0.5), 2) / ((c1 + c2) / 2)) ELSE sum(pow(c1 - c2, 2) / (c1 + c2)) END AS x2, count(*) - 1 AS dof FROM rcnt WHERE c1 + c2 > 0 GROUP BY 1),
+rp AS (SELECT pos, CASE WHEN dof = 0 THEN 1.0 ELSE """ + _TAIL.replace("{a}", "(dof / 2)").replace("{x}", "(x2 / 2)") + """ END AS pval FROM chi)"""
+_STREAK = "hit AS (SELECT pos FROM (SELECT pos, row_number() OVER (PARTITION BY g ORDER BY pos) AS r FROM (SELECT *, sum(CAST(pval >= 0.05 AS INT)) OVER (ORDER BY pos) AS g FROM rp) WHERE pval < 0.05) WHERE r = {w} // 3)"
+#: Runs by the concurrency of each pair of windows alone (cases i to i + 2w - 1).
+_WINDOW_RUNS = """starts AS (SELECT case_idx AS s FROM (SELECT DISTINCT case_idx FROM {t}) WHERE case_idx % {step} = 0 AND case_idx < (SELECT max(case_idx) + 1 FROM {t}) - 2 * {w}),
+conc AS (SELECT DISTINCT x.s, x.a, x.b FROM (SELECT DISTINCT s, a, b FROM starts JOIN df ON case_idx BETWEEN s AND s + 2 * {w} - 1) x JOIN (SELECT DISTINCT s, a, b FROM starts JOIN df ON case_idx BETWEEN s AND s + 2 * {w} - 1) y ON x.s = y.s AND x.a = y.b AND x.b = y.a),
+vt AS (SELECT case_idx, string_agg(activity, ',' ORDER BY evt_idx) AS trace FROM {t} GROUP BY 1), vs AS (SELECT DISTINCT s, trace FROM starts JOIN vt ON case_idx BETWEEN s AND s + 2 * {w} - 1),
+ve AS (SELECT trace, u.i AS i, string_split(trace, ',')[u.i] AS a FROM (SELECT DISTINCT trace FROM vt), LATERAL (SELECT unnest(range(1, len(string_split(trace, ',')) + 1)) AS i) u),
+edge AS (SELECT v.s, v.trace, x.i, y.i AS j, x.a, y.a AS b FROM vs v JOIN ve x ON x.trace = v.trace JOIN ve y ON y.trace = v.trace AND x.i < y.i LEFT JOIN conc c ON c.s = v.s AND c.a = x.a AND c.b = y.a WHERE c.a IS NULL),
+reach AS (SELECT s, trace, i, j FROM edge UNION SELECT r.s, r.trace, r.i, e.j FROM reach r JOIN edge e ON e.s = r.s AND e.trace = r.trace AND e.i = r.j),
+longer AS (SELECT DISTINCT m.s, m.trace, m.i, r.j FROM edge m JOIN reach r ON r.s = m.s AND r.trace = m.trace AND r.i = m.j),
+red AS (SELECT DISTINCT e.s, e.trace, a, b FROM edge e LEFT JOIN longer l ON l.s = e.s AND l.trace = e.trace AND l.i = e.i AND l.j = e.j WHERE l.i IS NULL),
+wr AS (SELECT v.s, v.trace, coalesce(string_agg(a || '>' || b, ';' ORDER BY a, b), '') AS run FROM vs v LEFT JOIN red r ON r.s = v.s AND r.trace = v.trace GROUP BY 1, 2),
+rcnt AS (SELECT s + {w} AS pos, run, count(*) FILTER (case_idx < s + {w}) AS c1, count(*) FILTER (case_idx >= s + {w}) AS c2 FROM wr JOIN vt USING (trace) WHERE case_idx BETWEEN s AND s + 2 * {w} - 1 GROUP BY 1, 2)"""
+#: The same by the concurrency of all cases up to the newest of the windows, which the first 2w cases have in common.
+_PREFIX_RUNS = _WINDOW_RUNS.replace("JOIN df ON case_idx BETWEEN s AND s + 2 * {w} - 1", "JOIN df ON case_idx <= s + 2 * {w} - 1")
 
-@query("prodrift_pvalue")
+
+@query("prodrift_pvalue", _with(_sql("chat_drift", " SELECT 'chat' AS log_id, pos, round(pval, 9) AS pval FROM rp", _DF, _RUNS, _RUN_P, _CHI_P), 20, 2))
 def _(spark, d):
-    return detectors.prodrift_p(choice_log(spark), 100, 2)
+    return detectors.prodrift_p(chat_drift_log(spark, d), 20, 2).withColumn("pval", F.round("pval", 9))
 
 
-@query("prodrift_changepoints")
+@query("prodrift_changepoints", _with(_sql("chat_drift", " SELECT 'chat' AS log_id, CAST(pos AS DOUBLE) AS change_point FROM hit", _DF, _RUNS, _RUN_P, _CHI_P, _STREAK), 20))
 def _(spark, d):
-    return detectors.prodrift(choice_log(spark), 100, 2)
+    return detectors.prodrift(chat_drift_log(spark, d), 20, 1)
 
 
-@query("prodrift_prefix_changepoints")
+@query("prodrift_step_changepoints", _with(_sql("chat_drift", " SELECT 'chat' AS log_id, CAST(pos AS DOUBLE) AS change_point FROM hit", _DF, _RUNS, _RUN_P, _CHI_P, _STREAK), 20, 2))
 def _(spark, d):
-    return detectors.prodrift(choice_log(spark), 100, 2, alpha_from="prefix")
+    return detectors.prodrift(chat_drift_log(spark, d), 20, 2)
 
 
-@query("prodrift_window_changepoints")
+@query("prodrift_prefix_changepoints", _with(_sql("chat_drift", " SELECT 'chat' AS log_id, CAST(pos AS DOUBLE) AS change_point FROM hit", _DF, _PREFIX_RUNS, _CHI_P, _STREAK), 20))
 def _(spark, d):
-    return detectors.prodrift(choice_log(spark), 50, 2, alpha_from="window")
+    return detectors.prodrift(chat_drift_log(spark, d), 20, 1, alpha_from="prefix")
+
+
+@query("prodrift_prefix_pvalue", _with(_sql("chat_drift", " SELECT 'chat' AS log_id, pos, round(pval, 9) AS pval FROM rp", _DF, _PREFIX_RUNS, _CHI_P), 20, 2))
+def _(spark, d):
+    return detectors.prodrift_p(chat_drift_log(spark, d), 20, 2, "prefix").withColumn("pval", F.round("pval", 9))
+
+
+@query("prodrift_window_pvalue", _with(_sql("chat_drift", " SELECT 'chat' AS log_id, pos, round(pval, 9) AS pval FROM rp", _DF, _WINDOW_RUNS, _CHI_P), 20, 2))
+def _(spark, d):
+    return detectors.prodrift_p(chat_drift_log(spark, d), 20, 2, "window").withColumn("pval", F.round("pval", 9))
+
+
+@query("prodrift_window_changepoints", _with(_sql("chat_drift", " SELECT 'chat' AS log_id, CAST(pos AS DOUBLE) AS change_point FROM hit", _DF, _WINDOW_RUNS, _CHI_P, _STREAK), 20))
+def _(spark, d):
+    return detectors.prodrift(chat_drift_log(spark, d), 20, 1, alpha_from="window")
 
 
 @query("pgm_changepoints")
 def _(spark, d):
-    return detectors.pgm(coin_log(spark), 100, 400, 0.05)
+    return detectors.pgm(drift_log(spark, d), 100, 400, 0.05)
 
 
 _PGM = """ev AS (SELECT case_idx, 'e' AS kind, a || '>' || b AS x FROM df UNION ALL SELECT case_idx, 'v', activity FROM {t}),
@@ -442,9 +555,9 @@ def _(spark, d):
     return detectors.rinv(chat_log(spark, d), 4, 1)
 
 
-@query("rinv_multi_eps")
+@query("rinv_multi_eps", " UNION ALL ".join("(" + _sql("drift", f" SELECT 'order' AS log_id, CAST({e} AS DOUBLE) AS eps, unnest(taken) AS change_point FROM (SELECT taken FROM acc ORDER BY r DESC LIMIT 1)", _DF, _RINV).replace("{mrid}", "300").replace("{eps}", str(e)) + ")" for e in (30, 60, 90)))
 def _(spark, d):
-    return detectors.rinv_multi(order_log(spark, d), 300, [30, 60, 90])
+    return detectors.rinv_multi(drift_log(spark, d), 300, [30, 60, 90])
 
 
 _LCDD = """n AS (SELECT max(case_idx) + 1 AS n FROM {t}), rel AS (SELECT DISTINCT case_idx, a || '>' || b AS x FROM df), cs AS (SELECT DISTINCT case_idx FROM {t}),
@@ -460,9 +573,22 @@ def _(spark, d):
     return detectors.lcdd(chat_log(spark, d), 3, 3)
 
 
-@query("lcdd_order")
+#: For each case s and relation x: the last place of x before s + c, and the next one from there on.
+_LCDD_FAST = """n AS (SELECT max(case_idx) + 1 AS n FROM {t}), rel AS (SELECT DISTINCT case_idx, a || '>' || b AS x FROM df), cs AS (SELECT DISTINCT case_idx AS s FROM {t}), xs AS (SELECT DISTINCT x FROM rel), sx AS (SELECT s, x FROM cs, xs),
+prv AS (SELECT k.s, k.x, r.case_idx AS p FROM sx k ASOF JOIN rel r ON k.x = r.x AND r.case_idx < k.s + {c}), nxt AS (SELECT k.s, k.x, r.case_idx AS q FROM sx k ASOF JOIN rel r ON k.x = r.x AND r.case_idx >= k.s + {c}),
+st AS (SELECT k.s, min(q) FILTER (NOT coalesce(p >= k.s, false)) AS new_at, count(*) FILTER (coalesce(p >= k.s, false) AND coalesce(q >= k.s + {c} + {d}, true)) AS gone FROM sx k LEFT JOIN prv ON prv.s = k.s AND prv.x = k.x LEFT JOIN nxt ON nxt.s = k.s AND nxt.x = k.x GROUP BY 1),
+nx AS (SELECT s, CASE WHEN s + {c} >= n THEN NULL WHEN new_at < s + {c} + {d} THEN new_at WHEN s + {c} + {d} < n AND gone > 1 THEN s + {c} ELSE new_at END AS t FROM st, n),
+walk AS (SELECT t AS p FROM nx WHERE s = 0 UNION ALL SELECT nx.t FROM walk JOIN nx ON nx.s = walk.p WHERE walk.p IS NOT NULL)"""
+
+
+@query("lcdd_order", _sql("drift", " SELECT 'order' AS log_id, CAST(p AS DOUBLE) AS change_point FROM walk WHERE p IS NOT NULL", _DF, _LCDD_FAST).replace("{c}", "200").replace("{d}", "200"))
 def _(spark, d):
-    return detectors.lcdd(order_log(spark, d), 200, 200)
+    return detectors.lcdd(drift_log(spark, d), 200, 200)
+
+
+@query("lcdd_user", _sql("user_drift", " SELECT 'user' AS log_id, CAST(p AS DOUBLE) AS change_point FROM walk WHERE p IS NOT NULL", _DF, _LCDD_FAST).replace("{c}", "10").replace("{d}", "10"))
+def _(spark, d):
+    return detectors.lcdd(user_drift_log(spark, d), 10, 10)
 
 
 # --- distances --------------------------------------------------------------
@@ -492,7 +618,8 @@ def _(spark, d):
 
 @query("emd_changepoints")
 def _(spark, d):
-    return detectors.emd(drift_log(spark, d), 50, 20)
+    """The whole order log, a position in fifty (the detector's step)."""
+    return detectors.emd(drift_log(spark, d), 25, 50)
 
 
 # --- splitting --------------------------------------------------------------
@@ -786,16 +913,26 @@ def _(spark, d):
     return grid.plan(spark, config, logs).groupBy("approach").agg(F.count("*").alias("n"))
 
 
-@query("grid_run")
+@query(
+    "grid_run",
+    "WITH found AS (" + " UNION ALL ".join(
+        [f"SELECT 'LCDD' AS algorithm, NULL AS eps, {w} AS w, p AS d FROM (" + _sql("drift", " SELECT p FROM walk WHERE p IS NOT NULL", _DF, _LCDD_FAST).replace("{c}", str(w)).replace("{d}", str(w)) + ")" for w in (100, 200)]
+        + [f"SELECT 'Zheng DBSCAN', {e}, NULL, d FROM (" + _sql("drift", " SELECT unnest(taken) AS d FROM (SELECT taken FROM acc ORDER BY r DESC LIMIT 1)", _DF, _RINV).replace("{mrid}", "300").replace("{eps}", str(e)) + ")" for e in (30, 60)]
+    ) + """), true_ AS (SELECT ceil(count(DISTINCT l_orderkey) / 2) - 1 AS a, count(DISTINCT l_orderkey) AS n FROM lineitem),
+runs AS (SELECT * FROM (VALUES ('LCDD', NULL, 100), ('LCDD', NULL, 200), ('Zheng DBSCAN', 30, NULL), ('Zheng DBSCAN', 60, NULL)) r(algorithm, eps, w)),
+j AS (SELECT r.algorithm, r.eps, r.w, count(d) AS n_d, min(abs(d - a)) FILTER (abs(d - a) <= 200) AS lag FROM runs r CROSS JOIN true_ LEFT JOIN found f ON f.algorithm = r.algorithm AND f.eps IS NOT DISTINCT FROM r.eps AND f.w IS NOT DISTINCT FROM r.w GROUP BY ALL)
+SELECT algorithm, 'order' AS log, CAST(eps AS DOUBLE) AS epsilon, CAST(w AS DOUBLE) AS complete_window, n AS n_cases, CAST(n_d AS INT) AS n_detected, CASE WHEN lag IS NULL THEN NULL ELSE round(2 / (n_d + 1), 9) END AS f1, lag AS avg_lag FROM j, true_""",
+)
 def _(spark, d):
-    e = drift_log(spark, d)
+    e = drift_log(spark, d).persist()
     middle = F.ceil(F.col("n_cases") / 2).cast("double") - 1  # the last case before the change
     logs = eventlog.log_lengths(e).select("log_id", F.lit("driver").alias("log_source"), F.array(middle).alias("actual"))
-    out = grid.run_all(e, {"lcdd": {"complete,detection": [(100, 100), (200, 200)], "stable_period": [10]}, "rinv": {"mrid": [100], "eps": [20]}}, logs)
-    return out.drop("seconds", "seconds_per_case")
+    out = grid.run_all(e, {"lcdd": {"complete,detection": [(100, 100), (200, 200)], "stable_period": [10]}, "rinv": {"mrid": [300], "eps_modifiers": [[0.1, 0.2]]}}, logs)
+    e.unpersist()
+    nan = lambda c: F.when(F.isnan(c), None).otherwise(F.round(c, 9))
+    return out.select("algorithm", "log", F.col("Epsilon").alias("epsilon"), F.col("Complete-Window Size").alias("complete_window"), "n_cases", "n_detected", nan(F.col("f1")).alias("f1"), nan(F.col("avg_lag")).alias("avg_lag"))
 
 
-@query("peaks")
+@query("peaks", _with(_sql("chat_drift", " SELECT 'chat' AS log_id, p * 2 + 20 AS pos FROM wide WHERE width >= 5 AND pr >= 0.02", _SF, _SIG_WC, _CNT, _MEAN_KS, "xs AS (SELECT (pos - 20) // 2 AS i, -pval AS x FROM mp)", _PEAKS), 20, 2))
 def _(spark, d):
-    p = detectors.bose_p(coin_log(spark), 100, "WC", "ks", 2)
-    return windows.peak_positions(p, 10, 0.05, True, 2, 100)
+    return windows.peak_positions(detectors.bose_p(chat_drift_log(spark, d), 20, "WC", "ks", 2), 5, 0.02, True, 2, 20)

@@ -97,12 +97,55 @@ def test_grid_settings():
     assert grid.settings({"w,most": [(1, 2), (3, 4)], "alpha": [0.1]}) == [{"w": 1, "most": 2, "alpha": 0.1}, {"w": 3, "most": 4, "alpha": 0.1}]
 
 
-def test_drift_log_is_the_whole_order_log(spark):
+def test_drift_logs_are_whole(spark):
     from driftline.plans import catalogue
 
     d = "/root/testdata/sf0.001"
     order, drift = (f(spark, d).select("case_idx", "evt_idx", "activity") for f in (catalogue.order_log, catalogue.drift_log))
     n = order.agg({"case_idx": "max"}).first()[0] + 1
-    other = {"NO": "AF", "AF": "NO"}
+    other = {"NO": "XO", "AF": "NO"}
     want = {(c, e): other.get(a, a) if c >= n / 2 else a for c, e, a in order.collect()}
     assert n > 1000 and {(c, e): a for c, e, a in drift.collect()} == want
+
+
+def _config(path):
+    path.write_text("""approaches:
+  Zheng: {enabled: true, params: {mrid: [10], eps_modifiers: [[0.1, 0.5]]}}
+  Martjushev ADWIN: {enabled: true, meta-params: {do_j: false, do_wc: true}, params: {min_max_window_pair: [[10, 40], [60, 80]], pvalue: [0.2], step_size: [10]}}
+  ProcessGraph: {enabled: false, params: {min_max_window_pair: [[10, 40]], pvalue: [0.1]}}
+  LCDD: {enabled: true, params: {window_pairs: [[10, 10]], stable_period: [5, 10]}}
+""")
+    return str(path)
+
+
+def test_grid_runs_each_setting_on_each_log(spark, tmp_path):
+    config = grid.load_config(_config(tmp_path / "grid.yml"))
+    assert set(config) == {"rinv", "adwin_wc", "lcdd"} and config["adwin_wc"]["least,most"] == [[10, 40], [60, 80]]
+    events = make_log(spark, ["abc"] * 50 + ["acb"] * 50, "one").unionByName(make_log(spark, ["abc"] * 30, "two")).cache()
+    logs = spark.createDataFrame([("one", "s", [50.0]), ("two", "s", [])], "log_id string, log_source string, actual array<double>")
+    got = grid.run_all(events, config, logs, 10, 3).collect()
+    lines = {(r.algorithm, r.log, r["Epsilon"], r["Min Adaptive Window"], r["Stable Period"]): r for r in got}
+    # of ADWIN's pairs on the log of 30 cases, only the smaller one fits
+    assert len(got) == len(lines) == 4 + 3 + 4
+    assert ("Martjushev ADWIN WC", "two", None, 60.0, None) not in lines
+    assert lines["LCDD", "one", None, None, 5.0].detected == [50.0] and lines["LCDD", "one", None, None, 5.0].f1 == 1
+    assert {lines["Zheng DBSCAN", "one", e, None, None].detected[0] for e in (1.0, 5.0)} == {50.0}
+    assert lines["LCDD", "two", None, None, 10.0].detected == [] and all(r.seconds > 0 for r in got)
+    assert grid.run_all(events, config, logs, test_run=True).count() == 4
+
+
+def test_command_line(spark, tmp_path):
+    from driftline.__main__ import main
+
+    folder = tmp_path / "logs" / "Bose"
+    folder.mkdir(parents=True)
+    event = lambda a: f'<event><string key="concept:name" value="{a}"/><date key="time:timestamp" value="2024-01-01T00:00:00.000+00:00"/></event>'
+    trace = lambda i, t: f'<trace><string key="concept:name" value="c{i}"/>{"".join(map(event, t))}</trace>'
+    with gzip.open(folder / "bose_log.xes.gz", "wt") as f:
+        f.write("<log>" + "".join(trace(i, "abc" if i < 50 else "acb") for i in range(100)) + "</log>")
+    main(["--logs", str(tmp_path / "logs"), "--config", _config(tmp_path / "grid.yml"), "--out", str(tmp_path / "out"), "--runAndEvaluate", "--num-cores", "2"], spark)
+    raw = results.read_csv(spark, str(tmp_path / "out" / "results"))
+    assert {r["Algorithm"] for r in raw.collect()} == {"Zheng DBSCAN", "Martjushev ADWIN WC", "LCDD"}
+    assert raw.where("`Stable Period` = 5").first()["Detected Changepoints"] == [50.0]
+    measures_ = {r.algorithm: r for r in spark.read.option("header", True).csv(str(tmp_path / "out" / "measures")).collect()}
+    assert len(measures_) == 2 and all(float(r.ms_per_case) > 0 for r in measures_.values())  # one ADWIN variant is left out
