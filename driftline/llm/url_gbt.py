@@ -5,7 +5,8 @@ starts with the rule's; the longest rule that fits decides.  The trees learn
 from labelled URLs: lengths, depth, digit ratio, entropy, parameter counts and
 statistics of the host's suffixes.  They are fitted on the driver to at most
 `max_labelled` labelled rows (those of lowest hash of the URL); judging is one
-map-only pass over all rows.
+map-only pass over all rows.  Host, path, rule and lexical features are columns;
+Python sees the features alone.
 
 Defined results: a null URL, or one without `://`, has an empty host and path,
 fits no rule and is judged by its features like any other; repeated rows are
@@ -16,7 +17,7 @@ empty table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,43 +25,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "page_id long, host string, path string, rule string, verdict string, block_probability double"
+from .shared import of_lowest_hash
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: A-Z, lower-cased; other letters stay.
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def parts(url: str | None) -> tuple[str, str]:
-    """Host and path."""
-    _, found, rest = (url or "").partition("://")
-    if not found:
-        return "", ""
-    ends = [k for k in map(rest.find, "?#") if k >= 0]
-    rest = rest[: min(ends, default=len(rest))]
-    host, slash, path = rest.partition("/")
-    return host.translate(_LOWER), slash + path
+def with_parts(urls: DataFrame) -> DataFrame:
+    """`urls` (url) with host and path: what follows the first `://`, up to `/`, `?` or `#`, and from there up to `?` or `#`."""
+    begin = F.instr("url", "://")
+    rest = F.when(begin > 0, F.substring("url", begin + 3, F.length("url"))).otherwise(F.lit(""))
+    rest = F.coalesce(rest, F.lit(""))
+    return urls.withColumns({"host": F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), _UPPER, _SMALL), "path": F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)})
 
 
-class Rules:
-    """Rules by host, the longest first."""
+def with_rule(parts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """`parts` (host, path) with rule and rule_verdict: the longest rule that fits, of equal ones the least; null without one.
 
-    def __init__(self, rules: list[tuple[str, str]]):
-        self.by_host: dict[str, list[tuple[int, str, str, str]]] = {}
-        for verdict, rule in rules:
-            host, slash, path = rule.partition("/")
-            self.by_host.setdefault(host, []).append((-len(rule), rule, slash + path, verdict))
-        for known in self.by_host.values():
-            known.sort()
-
-    def find(self, host: str, path: str) -> tuple[str | None, str | None]:
-        """The rule that decides, and its verdict."""
-        best = None
-        while host:
-            for known in self.by_host.get(host, ()):
-                if path.startswith(known[2]):
-                    best = min(best or known, known)
-                    break
-            host = host.partition(".")[2]
-        return (best[1], best[3]) if best else (None, None)
+    rules: (verdict, host/path).  Each suffix of the host is looked up in a map of
+    the rules by host, so the cost grows with the labels of a host.
+    """
+    by_host: dict[str, list[dict]] = {}
+    for verdict, rule in rules:
+        host, slash, path = rule.partition("/")
+        by_host.setdefault(host, []).append({"path": slash + path, "shortness": -len(rule), "rule": rule, "verdict": verdict})
+    known = F.from_json(F.lit(json.dumps(by_host)), "map<string,array<struct<path:string,shortness:int,rule:string,verdict:string>>>")
+    labels = F.split("host", "\\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    none = F.array().cast("array<struct<path:string,shortness:int,rule:string,verdict:string>>")
+    found = F.flatten(F.transform(suffixes, lambda s: F.coalesce(F.try_element_at(known, s), none)))
+    fits = F.filter(found, lambda r: F.startswith(F.col("path"), r.path))
+    best = F.array_min(F.transform(fits, lambda r: F.struct(r.shortness.alias("shortness"), r.rule.alias("rule"), r.verdict.alias("verdict"))))
+    return parts.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "rule_verdict": F.col("_best.verdict")}).drop("_best")
 
 
 @dataclass
@@ -71,10 +67,10 @@ class Suffixes:
     prior: float = 0.5
 
     @classmethod
-    def of(cls, urls: list[str | None], labels: np.ndarray) -> Suffixes:
+    def of(cls, hosts: list[str], labels: np.ndarray) -> Suffixes:
         out = cls(prior=float(labels.mean()) if len(labels) else 0.5)
-        for url, y in zip(urls, labels.tolist(), strict=True):
-            for s in cls.names(parts(url)[0]):
+        for host, y in zip(hosts, labels.tolist(), strict=True):
+            for s in cls.names(host):
                 n, b = out.blocked.get(s, (0, 0))
                 out.blocked[s] = (n + 1, b + int(y))
         return out
@@ -92,21 +88,27 @@ class Suffixes:
         return out
 
 
-def features(urls: list[str | None], suffixes: Suffixes) -> np.ndarray:
-    rows = []
-    for url in urls:
-        u = url or ""
-        host, path = parts(u)
-        n = max(len(u), 1)
-        _, counts = np.unique(np.frombuffer(u.encode(), np.uint8), return_counts=True)
-        share = counts / max(counts.sum(), 1)
-        query = u.partition("?")[2].partition("#")[0]
-        rows.append(
-            [len(u), len(host), len(path), host.count("."), path.strip("/").count("/") + (path.strip("/") != ""), sum(c.isdigit() for c in u) / n, -(share * np.log2(share)).sum() if u else 0.0]
-            + [query.count("&") + (query != ""), len(query), "#" in u, host.count("-"), path.endswith("/"), "." in path, u.startswith("https")]
-            + suffixes.values(host)
-        )
-    return np.array(rows, float) if rows else np.empty((0, 20))
+def with_lexical(parts: DataFrame) -> DataFrame:
+    """`parts` (url, host, path) with the features (array of double) that a URL alone gives."""
+    url = F.coalesce(F.col("url"), F.lit(""))
+    query = F.regexp_extract(url, "^[^?]*\\?([^#]*)", 1)
+    n = F.greatest(F.length(url), F.lit(1))
+    inner = F.regexp_replace("path", "^/+|/+$", "")
+    count = lambda c, what: F.length(c) - F.length(F.replace(c, F.lit(what)))
+    # entropy of the characters: log2(n) less the mean of log2 of the counts, from the sorted characters' runs
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(url, "")), ""), F.lit("((?s).)\\1*"), 0)
+    entropy = F.log2(n) - F.aggregate(runs, F.lit(0.0), lambda s, r: s + F.length(r) * F.log2(F.greatest(F.length(r), F.lit(1)))) / n
+    found = [
+        F.length(url), F.length("host"), F.length("path"), count(F.col("host"), "."), count(inner, "/") + (inner != "").cast("int"), F.length(F.regexp_replace(url, "[^0-9]", "")) / n, entropy,
+        count(query, "&") + (query != "").cast("int"), F.length(query), F.contains(url, F.lit("#")), count(F.col("host"), "-"), F.endswith("path", F.lit("/")), F.contains("path", F.lit(".")), F.startswith(url, F.lit("https")),
+    ]
+    return parts.withColumn("lexical", F.array(*(x.cast("double") for x in found)))
+
+
+def features(lexical: np.ndarray, hosts: list[str], suffixes: Suffixes) -> np.ndarray:
+    """Rows of lexical features, with the statistics of the hosts' suffixes."""
+    known = {h: suffixes.values(h) for h in set(hosts)}
+    return np.column_stack([lexical, np.array([known[h] for h in hosts], float).reshape(len(hosts), 6)]) if len(hosts) else np.empty((0, 20))
 
 
 @dataclass
@@ -172,10 +174,25 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: f
 
 def fit(labelled: DataFrame, max_labelled: int = 20000) -> tuple[Suffixes, Boosted]:
     """From rows (url, block: 0 or 1)."""
-    rows = labelled.where("url is not null and block is not null").select("url", F.col("block").cast("int").alias("block")).orderBy(F.xxhash64("url"), "url", "block").limit(max_labelled).collect()
-    urls, y = [r.url for r in rows], np.array([r.block for r in rows], float)
-    suffixes = Suffixes.of(urls, y)
-    return suffixes, boost(features(urls, suffixes), y)
+    sample = of_lowest_hash(labelled.where("url is not null and block is not null").select("url", F.col("block").cast("int").alias("block")), max_labelled, "url", "block")
+    rows = with_lexical(with_parts(sample)).select("host", "block", "lexical").collect()  # max_labelled rows
+    y = np.array([r.block for r in rows], float)
+    hosts = [r.host for r in rows]
+    suffixes = Suffixes.of(hosts, y)
+    return suffixes, boost(features(np.array([r.lexical for r in rows], float), hosts, suffixes), y)
+
+
+def probability(parts: DataFrame, model: tuple[Suffixes, Boosted]) -> DataFrame:
+    """`parts` (url, host, path) with block_probability."""
+    shared = parts.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(lexical: pa.Array, host: pa.Array) -> pa.Array:
+        suffixes, trees = shared.value
+        flat = lexical.flatten().to_numpy(zero_copy_only=False).reshape(len(lexical), -1) if len(lexical) else np.empty(0)
+        return pa.array(trees.probability(features(flat, host.to_pylist(), suffixes)), pa.float64())
+
+    return with_lexical(parts).withColumn("block_probability", score("lexical", "host")).drop("lexical")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], model: tuple[Suffixes, Boosted] | None) -> DataFrame:
@@ -183,35 +200,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], model: tuple[Suffixes,
 
     Without a model, rows that no rule fits have a null verdict.
     """
-    shared = pages.sparkSession.sparkContext.broadcast((rules, model))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, model = shared.value
-        known = Rules(rules)
-        for batch in batches:
-            urls = batch.column(1).to_pylist()
-            split = [parts(u) for u in urls]
-            found = [known.find(*p) for p in split]
-            p = model[1].probability(features(urls, model[0])) if model else np.zeros(len(urls))
-            verdict = [v or (("block" if q >= 0.5 else "allow") if model else None) for (_, v), q in zip(found, p, strict=True)]
-            text = pa.string()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h for h, _ in split], text), pa.array([x for _, x in split], text), pa.array([r for r, _ in found], text), pa.array(verdict, text), pa.array(p, pa.float64())],
-                ["page_id", "host", "path", "rule", "verdict", "block_probability"],
-            )
-
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(run, SCHEMA)
-
-
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """`judge` with trees that learn from the URLs that a rule decides, as labelled rows."""
-    shared = pages.sparkSession.sparkContext.broadcast(rules)
-
-    @F.arrow_udf("int")
-    def block(urls: pa.Array) -> pa.Array:
-        known = Rules(shared.value)
-        verdicts = (known.find(*parts(u))[1] for u in urls.to_pylist())
-        return pa.array([None if v is None else int(v == "block") for v in verdicts], pa.int32())
-
-    labelled = pages.select(F.col("url").cast("string").alias("url")).withColumn("block", block("url"))
+    rows = with_rule(with_parts(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))), rules)
+    rows = rows.withColumn("block_probability", F.lit(None).cast("double")) if model is None else probability(rows, model)
+    by_trees = F.when(F.col("block_probability") >= 0.5, "block").when(F.col("block_probability").isNotNull(), "allow")
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_trees).alias("verdict"), "block_probability")
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None) -> DataFrame:
+    """`judge` with trees that learn from `labelled` (url, block); where there is no such table, from the URLs that a rule decides."""
+    if labelled is None:
+        decided = with_rule(with_parts(pages.select(F.col("url").cast("string").alias("url"))), rules)
+        labelled = decided.select("url", (F.col("rule_verdict") == "block").cast("int").alias("block"))
     return judge(pages, rules, fit(labelled))
