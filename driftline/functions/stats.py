@@ -335,3 +335,19 @@ def locate_change(test, low: int, middle: int, high: int, alpha: float) -> int:
         if not p <= alpha or (a, b, c) == (low, middle, high):
             return middle - 1
         low, middle, high = a, b, c
+
+
+def bisected_change(test, low: int, middle: int, high: int, alpha: float) -> int:
+    """The other rule of bisection: halve as long as both parts differ, and give the beginning of the second one.
+
+    The published form steps over the whole first part where it means its first
+    half; here it is the half.
+    """
+    while test(low, middle, high) < alpha:
+        m1, m2 = low + (middle - low) // 2, middle + (high - middle) // 2
+        p, place = min((test(*x), k) for k, x in enumerate(((low, m1, middle), (m1, middle, m2), (middle, m2, high))))
+        closer = ((low, m1, middle), (m1, middle, m2), (middle, m2, high))[place]
+        if p >= alpha or closer == (low, middle, high):
+            break
+        low, middle, high = closer
+    return middle

@@ -32,6 +32,26 @@ def variant_distances(variant_table: DataFrame) -> DataFrame:
     return pairs.select("log_id", "v1", "v2", "lev", F.when(longest == 0, 0.0).otherwise(F.col("lev") / longest).alias("distance"))
 
 
+def weighted_distances(variant_table: DataFrame, **costs) -> DataFrame:
+    """log_id, v1, v2, weighted, distance for v1 <= v2: weighted edit distance of timed variants, whole and by the longer length.
+
+    variant_table: log_id, variant_id, trace, bins (of each event's duration).
+    costs: functions rename(a, b), insdel(a), time_match(x, y), time_insdel(x),
+    as `stats.weighted_levenshtein` takes them; they run in Python, a batch of
+    pairs at a time.
+    """
+    side = lambda k: variant_table.select("log_id", F.col("variant_id").alias(f"v{k}"), F.arrays_zip(F.col("trace").alias("a"), F.col("bins").alias("x")).alias(f"t{k}"))
+
+    @F.pandas_udf("double")
+    def weighted(first: pd.Series, second: pd.Series) -> pd.Series:
+        held = lambda t: [(e["a"], e["x"]) for e in t]
+        return pd.Series([stats.weighted_levenshtein(held(a), held(b), **costs) for a, b in zip(first, second, strict=True)], dtype=float)
+
+    pairs = side(1).join(side(2), "log_id").where("v1 <= v2").withColumn("weighted", weighted("t1", "t2"))
+    longest = F.greatest(F.size("t1"), F.size("t2"))
+    return pairs.select("log_id", "v1", "v2", "weighted", F.when(longest == 0, 0.0).otherwise(F.col("weighted") / longest).alias("distance"))
+
+
 def window_starts(w: int, step: int) -> Column:
     """The multiples of `step` from which on 2 * w cases hold case_idx."""
     first = F.ceil(F.greatest(F.lit(0), F.col("case_idx") - 2 * w + 1) / step) * step

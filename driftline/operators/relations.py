@@ -167,6 +167,18 @@ def graph_metrics(relation: DataFrame, by: str = "log_id") -> DataFrame:
     return nodes.join(edges, by).withColumns({"density": F.when(pairs > 0, F.col("n_edges") / pairs), "mean_degree": F.col("n_edges") / F.col("n_nodes")})
 
 
+def dependency_graph(relation: DataFrame, threshold: float = 0.99, by: tuple[str, ...] = ("log_id",)) -> DataFrame:
+    """by, a, b, n, dependency of a directly-follows graph (by, a, b, n): the edges of a heuristics net.
+
+    The dependency of a on b is (n_ab - n_ba) / (n_ab + n_ba + 1), that of a
+    loop n_aa / (n_aa + 1); edges under the threshold are left out.
+    """
+    back = relation.select(*by, F.col("b").alias("a"), F.col("a").alias("b"), F.col("n").alias("m"))
+    m = F.coalesce("m", F.lit(0))
+    value = F.when(F.col("a") == F.col("b"), F.col("n") / (F.col("n") + 1)).otherwise((F.col("n") - m) / (F.col("n") + m + 1))
+    return relation.join(back, [*by, "a", "b"], "left").withColumn("dependency", value).where(F.col("dependency") >= threshold).select(*by, "a", "b", "n", "dependency")
+
+
 def degrees(relation: DataFrame, by: str = "log_id") -> DataFrame:
     """In- and out-degree of each activity."""
     ends = relation.select(by, F.col("a").alias("x"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(relation.select(by, F.col("b").alias("x"), F.lit(0).alias("o"), F.lit(1).alias("i")))

@@ -269,4 +269,20 @@ def plot_inputs(data: DataFrame, lag: float = 200) -> dict[str, DataFrame]:
         "sensitivity": sensitivity(clean, lag),
         "robustness": noise_means(data, lag),
         "f1_duration": evaluation.scatter_points(evaluation.with_scores(data), "algorithm", ["f1", "seconds"]),
+        "radar": recall_by_pattern(clean).join(best, ["algorithm", "params"], "left_semi").select("algorithm", F.col("change_pattern").alias("axis"), F.coalesce(F.nanvl("recall", F.lit(0.0)), F.lit(0.0)).alias("radius")),
+        "pareto": _with_front(evaluation.scatter_points(evaluation.with_scores(data), "algorithm", ["f1", "seconds"])),
+        "roc": evaluation.roc_points(evaluation.with_scores(data), "params"),
     }
+
+
+def _with_front(points: DataFrame) -> DataFrame:
+    """Points with whether no other one is both more accurate and faster."""
+    front = evaluation.pareto(points, ["f1", "seconds"], [False, True]).select("algorithm", F.lit(True).alias("on_front"))
+    return points.join(front, "algorithm", "left").withColumn("on_front", F.coalesce("on_front", F.lit(False)))
+
+
+def p_value_plot(p: DataFrame, detected: DataFrame, actual: DataFrame) -> DataFrame:
+    """log_id, layer, x, y: a p-value series (log_id, pos, pval), and change points found and known (log_id, change_point) as lines at x."""
+    lines = lambda t, layer: t.select("log_id", F.lit(layer).alias("layer"), F.col("change_point").cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    series = p.select("log_id", F.lit("p").alias("layer"), F.col("pos").cast("double").alias("x"), F.col("pval").alias("y"))
+    return series.unionByName(lines(detected, "detected")).unionByName(lines(actual, "actual"))

@@ -63,6 +63,38 @@ def read_many(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
     return out
 
 
+#: Folders of older result files, and the label of each of their options; a plain label holds for all.
+LEGACY_FILE, LEGACY_OPTION = "evaluation_results.csv", "Algorithm/Options"
+LEGACY = {
+    "Bose": {"Bose Average J": "Bose J", "Bose Average WC": "Bose WC"},
+    "Martjushev": {"Martjushev Recursive Bisection; Average J; p=0.55": "Martjushev J", "Martjushev Recursive Bisection; Average WC; p=0.55": "Martjushev WC"},
+    "Maaradji": "ProDrift",
+    "Earthmover": None,
+    "ProcessGraph": "Process Graphs",
+    "Zheng": "Zheng",
+}
+
+
+def read_legacy(spark: SparkSession, folder: str) -> DataFrame:
+    """Results in the older layout, a file for each approach, under today's labels (Algorithm).
+
+    Options that no label is known for are left out where an approach has several; those of Earthmover stay as they are.
+    """
+    out = None
+    for approach, labels in LEGACY.items():
+        path = f"{folder}/{approach}/{LEGACY_FILE}"
+        option = F.col(f"`{LEGACY_OPTION}`")
+        names = spark.read.option("header", True).csv(path).withColumnRenamed(LEGACY_OPTION, "Algorithm").columns
+        raw = read_csv(spark, path)
+        if isinstance(labels, dict):
+            label = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))[option]
+        else:
+            label = option if labels is None else F.lit(labels)
+        part = raw.withColumn("Algorithm", label).where("Algorithm is not null").drop(LEGACY_OPTION).select(*dict.fromkeys([*(n for n in names if n != "Algorithm"), *COLUMNS, "duration_seconds"]))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Arrays become JSON cells."""
     cells = [F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith(("array", "map", "struct")) else F.col(f"`{c}`") for c, t in df.dtypes]

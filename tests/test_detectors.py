@@ -169,6 +169,14 @@ def test_locate_change():
     assert abs(stats.locate_change(p, 0, 40, 80, 0.05) - 30) <= 10
 
 
+def test_bisected_change():
+    x = np.array([0.0] * 30 + [1.0] * 50)
+    p = lambda a, b, c: stats.ks_2samp(x[a:b], x[b:c])
+    assert abs(stats.bisected_change(p, 0, 40, 80, 0.05) - 30) <= 10
+    assert stats.bisected_change(lambda *_: 1.0, 0, 40, 80, 0.05) == 40
+    assert stats.bisected_change(lambda *_: 0.0, 0, 3, 6, 0.05) >= 0
+
+
 def test_hotelling_series(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(60, 2)) + (np.arange(60)[:, None] >= 30) * 3

@@ -8,7 +8,7 @@ from helpers import make_log
 from pyspark.sql import functions as F
 
 from driftline import eventlog
-from driftline.operators import evaluation, measures, relations, split
+from driftline.operators import distances, evaluation, measures, relations, split
 from driftline.plans import grid
 from driftline.sources import results, xes
 
@@ -149,3 +149,51 @@ def test_command_line(spark, tmp_path):
     assert raw.where("`Stable Period` = 5").first()["Detected Changepoints"] == [50.0]
     measures_ = {r.algorithm: r for r in spark.read.option("header", True).csv(str(tmp_path / "out" / "measures")).collect()}
     assert len(measures_) == 2 and all(float(r.ms_per_case) > 0 for r in measures_.values())  # one ADWIN variant is left out
+
+
+def test_older_results_are_relabelled(spark, tmp_path):
+    head = "Algorithm/Options,Log,Detected Changepoints,Actual Changepoints for Log,Duration"
+    line = lambda option: f'{option},log,"[1, 2]","[1]",00:00:05'
+    options = {
+        "Bose": ["Bose Average J", "Bose Average WC", "other"], "Martjushev": ["Martjushev Recursive Bisection; Average J; p=0.55", "?"],
+        "Maaradji": ["x"], "Earthmover": ["Earth Mover"], "ProcessGraph": ["y"], "Zheng": ["z"],
+    }
+    for folder, found in options.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / results.LEGACY_FILE).write_text("\n".join([head, *map(line, found)]) + "\n")
+    got = results.read_legacy(spark, str(tmp_path)).collect()
+    assert sorted(r["Algorithm"] for r in got) == ["Bose J", "Bose WC", "Earth Mover", "Martjushev J", "ProDrift", "Process Graphs", "Zheng"]
+    assert all(r["Detected Changepoints"] == [1.0, 2.0] and r["duration_seconds"] == 5 for r in got)
+
+
+def test_dependency_graph(spark):
+    rows = [("l", "a", "b", 200), ("l", "b", "a", 1), ("l", "a", "a", 120), ("l", "b", "c", 50), ("l", "c", "d", 99)]
+    graph = relations.dependency_graph(spark.createDataFrame(rows, "log_id string, a string, b string, n long"), 0.98)
+    assert {(r.a, r.b): round(r.dependency, 6) for r in graph.collect()} == {("a", "b"): round(199 / 202, 6), ("a", "a"): round(120 / 121, 6), ("b", "c"): round(50 / 51, 6), ("c", "d"): 0.99}
+
+
+def test_weighted_distances(spark):
+    table = spark.createDataFrame([("l", 0, ["a", "b"], [1, 2]), ("l", 1, ["a", "c", "b"], [1, 0, 4]), ("l", 2, [], [])], "log_id string, variant_id int, trace array<string>, bins array<int>")
+    got = {(r.v1, r.v2): (r.weighted, r.distance) for r in distances.weighted_distances(table, insdel=lambda a: 5.0 if a == "c" else 1.0).collect()}
+    assert got[0, 0] == (0.0, 0.0) and got[2, 2] == (0.0, 0.0)
+    assert got[0, 1] == (4.0, 4 / 3)  # rename b to c and insert b: 1 + |2 - 0| + 1, under the 5 of c
+    assert got[0, 2] == (2.0, 1.0)
+
+
+def test_plot_inputs(spark):
+    from driftline.plans import catalogue, scoreboard
+
+    data = scoreboard.counted(scoreboard.preprocessed(catalogue.fixture(spark))).cache()
+    tables = scoreboard.plot_inputs(data)
+    assert set(tables) == {"accuracy", "latency", "versatility", "scalability", "sensitivity", "robustness", "f1_duration", "radar", "pareto", "roc"}
+    names = {r.algorithm for r in data.select("algorithm").distinct().collect()}
+    for key, table in tables.items():
+        found = table.collect()
+        assert found, key
+        assert key == "roc" or {r.algorithm for r in found} <= names
+    points_ = tables["pareto"].collect()
+    for r in points_:
+        assert r.on_front == (not any(o.f1 > r.f1 and o.seconds < r.seconds for o in points_))
+    p = spark.createDataFrame([("l", 5, 0.5)], "log_id string, pos long, pval double")
+    line = spark.createDataFrame([("l", 7.0)], "log_id string, change_point double")
+    assert rows(scoreboard.p_value_plot(p, line, line)) == {("l", "p", 5.0, 0.5), ("l", "detected", 7.0, None), ("l", "actual", 7.0, None)}
