@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, DecimalType, FractionalType, IntegralType, StringType, TimestampNTZType, TimestampType
 
 EVENT_COLUMNS = ("log_id", "case_id", "case_idx", "evt_idx", "activity")
 
@@ -23,8 +23,12 @@ def _bucket(df: DataFrame, column: str) -> Column:
         return F.floor(F.col(column) / 65536)
     if isinstance(kind, TimestampType | TimestampNTZType):
         return F.date_trunc("hour", column)
+    if isinstance(kind, DecimalType | FractionalType):
+        return F.floor(F.col(column) / 65536)
+    if isinstance(kind, DateType):
+        return F.trunc(column, "month")
     if isinstance(kind, StringType):
-        return F.substring(column, 1, 3)
+        return F.substring(column, 1, 6)
     return F.lit(0)
 
 
@@ -44,9 +48,17 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], to: str) ->
     return out.select(*(f"x.{c}" for c in df.columns), (F.col("_w") + F.col("_o")).cast("long").alias(to))
 
 
-def from_table(df: DataFrame, case: str, activity: Column | str, order_by: Sequence[str], log_id: str = "log", case_order: Sequence[str] | None = None, ts: str | None = None, start_ts: str | None = None) -> DataFrame:
-    """Events of a flat table; cases are numbered by `case_order` (default: the case key itself)."""
+def from_table(df: DataFrame, case: str, activity: Column | str, order_by: Sequence[str], log_id: str = "log", case_order: Sequence[str] | None = None, ts: str | None = None, start_ts: str | None = None, dense: bool = True) -> DataFrame:
+    """Events of a flat table; cases are numbered by `case_order` (default: the case key itself).
+
+    dense=False: case_idx is the case key itself, which tells cases apart and is
+    no place; enough for relations, activities and lengths, and one shuffle.
+    """
     activity = F.col(activity) if isinstance(activity, str) else activity
+    if not dense:
+        extra = [F.col(c).cast("timestamp").alias(n) for c, n in ((ts, "ts"), (start_ts, "start_ts")) if c]
+        place = F.row_number().over(Window.partitionBy(case).orderBy(*order_by)) - 1
+        return df.where(F.col(case).isNotNull()).select(F.lit(log_id).alias("log_id"), F.col(case).cast("string").alias("case_id"), F.col(case).alias("case_idx"), place.cast("long").alias("evt_idx"), activity.alias("activity"), *extra)
     keys = list(case_order or [case])
     cases = numbered(df.groupBy(case).agg(*(F.min(k).alias(k) for k in keys if k != case), F.count("*").alias("_n")).drop("_n").withColumn("log_id", F.lit(log_id)), ["log_id"], [*keys, *([case] if case not in keys else [])], "case_idx")
     extra = [F.col(c).cast("timestamp").alias(n) for c, n in ((ts, "ts"), (start_ts, "start_ts")) if c]

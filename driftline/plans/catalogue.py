@@ -16,9 +16,9 @@ from driftline.sources import catalogue as log_catalogue
 # --- logs -------------------------------------------------------------------
 
 
-def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_log(spark: SparkSession, sf_dir: str, dense: bool = True) -> DataFrame:
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return eventlog.from_table(t, "l_orderkey", F.concat("l_returnflag", "l_linestatus"), ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus"], "order")
+    return eventlog.from_table(t, "l_orderkey", F.concat("l_returnflag", "l_linestatus"), ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus"], "order", dense=dense)
 
 
 def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,12 +111,12 @@ def query(name: str, sql: str | None = None):
 
 @query("activities", _sql("order", " SELECT DISTINCT log_id, activity FROM {t}"))
 def _(spark, d):
-    return eventlog.activities(order_log(spark, d))
+    return eventlog.activities(order_log(spark, d, dense=False))
 
 
 @query("num_activities", _sql("order", " SELECT log_id, count(DISTINCT activity) AS n_activities FROM {t} GROUP BY 1"))
 def _(spark, d):
-    return eventlog.num_activities(order_log(spark, d))
+    return eventlog.num_activities(order_log(spark, d, dense=False))
 
 
 @query("activities_of_all", "SELECT DISTINCT activity FROM (SELECT role AS activity FROM conversations UNION ALL SELECT event_type FROM events)")
@@ -127,7 +127,7 @@ def _(spark, d):
 @query("log_lengths", "SELECT 'order' AS log_id, count(DISTINCT l_orderkey) AS n_cases, count(*) AS n_events FROM lineitem UNION ALL SELECT 'user', count(DISTINCT user_id), count(*) FROM events UNION ALL SELECT 'chat', count(DISTINCT conv_id), count(*) FROM conversations")
 def _(spark, d):
     cut = lambda e: e.select("log_id", "case_idx")
-    return eventlog.log_lengths(cut(order_log(spark, d)).union(cut(user_log(spark, d))).union(cut(chat_log(spark, d))))
+    return eventlog.log_lengths(cut(order_log(spark, d, dense=False)).union(cut(user_log(spark, d))).union(cut(chat_log(spark, d))))
 
 
 _TRACES = "traces AS (SELECT log_id, case_idx, string_agg(activity, ',' ORDER BY evt_idx) AS trace FROM {t} GROUP BY 1, 2)"
@@ -148,7 +148,7 @@ def _(spark, d):
 
 @query("directly_follows", _sql("order", " SELECT log_id, a, b, count(*) AS n FROM df GROUP BY 1, 2, 3", _DF))
 def _(spark, d):
-    return relations.directly_follows(order_log(spark, d))
+    return relations.directly_follows(order_log(spark, d, dense=False))
 
 
 @query("directly_follows_per_case", _sql("order", " SELECT log_id, case_idx, a, b, count(*) AS n FROM df GROUP BY 1, 2, 3, 4", _DF))
@@ -163,7 +163,7 @@ def _(spark, d):
 
 @query("alpha_concurrency", _sql("order", " SELECT DISTINCT x.log_id, x.a, x.b FROM df x JOIN df y ON x.a = y.b AND x.b = y.a", "df AS (SELECT DISTINCT log_id, a, b FROM (SELECT log_id, activity AS a, lead(activity) OVER (PARTITION BY case_idx ORDER BY evt_idx) AS b FROM {t}) WHERE b IS NOT NULL)"))
 def _(spark, d):
-    return relations.concurrency(relations.directly_follows(order_log(spark, d)))
+    return relations.concurrency(relations.directly_follows(order_log(spark, d, dense=False)))
 
 
 _PAIRS = """eva AS (SELECT DISTINCT x.g, x.case_idx, x.activity AS a, y.activity AS b FROM ev x JOIN ev y ON x.g = y.g AND x.case_idx = y.case_idx AND x.evt_idx < y.evt_idx),
@@ -235,7 +235,7 @@ def _(spark, d):
 
 @query("irreflexive_follows", _sql("order", " SELECT log_id, a, b, count(*) AS n FROM df WHERE a <> b GROUP BY 1, 2, 3", _DF))
 def _(spark, d):
-    return relations.irreflexive(relations.directly_follows(order_log(spark, d)))
+    return relations.irreflexive(relations.directly_follows(order_log(spark, d, dense=False)))
 
 
 @query("relation_matrix_sparse", _sql("order", " SELECT DISTINCT log_id, case_idx, a, b, kind FROM df, (VALUES ('D'), ('W')) k(kind)", _DF))
@@ -246,14 +246,14 @@ def _(spark, d):
 @query("graph_metrics", _sql("order", """, g AS (SELECT a, b, count(*) AS n FROM df GROUP BY 1, 2), v AS (SELECT count(DISTINCT x) AS n_nodes FROM (SELECT a AS x FROM g UNION ALL SELECT b FROM g))
 SELECT 'order' AS log_id, n_nodes, count(*) AS n_edges, CAST(sum(n) AS BIGINT) AS occurrences, round(count(*) / (n_nodes * (n_nodes - 1)), 9) AS density, round(count(*) / n_nodes, 9) AS mean_degree FROM g, v GROUP BY n_nodes""", _DF))
 def _(spark, d):
-    m = relations.graph_metrics(relations.directly_follows(order_log(spark, d)))
+    m = relations.graph_metrics(relations.directly_follows(order_log(spark, d, dense=False)))
     return m.withColumns({c: F.round(c, 9) for c in ("density", "mean_degree")})
 
 
 @query("degrees", _sql("order", """, g AS (SELECT DISTINCT a, b FROM df), x AS (SELECT a AS activity, 1 AS o, 0 AS i FROM g UNION ALL SELECT b, 0, 1 FROM g)
 SELECT 'order' AS log_id, activity, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM x GROUP BY 2""", _DF))
 def _(spark, d):
-    return relations.degrees(relations.directly_follows(order_log(spark, d)))
+    return relations.degrees(relations.directly_follows(order_log(spark, d, dense=False)))
 
 
 _RUNS = """conc AS (SELECT DISTINCT x.a, x.b FROM df x JOIN df y ON x.a = y.b AND x.b = y.a),

@@ -23,6 +23,23 @@ def test_numbered_is_dense(spark):
     assert got == {k: i for i, k in enumerate(sorted(got))}
 
 
+def test_numbering_of_other_keys(spark):
+    from decimal import Decimal
+    from datetime import date
+
+    for kind, keys in (("decimal(12,2)", [Decimal("1.5"), Decimal("-3"), Decimal("70000.25")]), ("double", [1e9, -2.5, 3.25]), ("date", [date(2024, 5, 1), date(1999, 1, 31), date(2024, 5, 9)]), ("string", ["ord0000012", "ord0000003", "a"])):
+        df = spark.createDataFrame([("l", k) for k in keys], f"log_id string, k {kind}")
+        got = {r.k: r.i for r in eventlog.numbered(df, ["log_id"], ["k"], "i").collect()}
+        assert got == {k: i for i, k in enumerate(sorted(got))}
+
+
+def test_cases_without_places(spark):
+    t = spark.createDataFrame([(7, "a", 1), (7, "b", 2), (3, "a", 1), (None, "a", 1)], "k long, x string, o int")
+    plain, dense = (eventlog.from_table(t, "k", "x", ["o"], dense=d) for d in (False, True))
+    assert rows(plain.select("case_id", "case_idx", "evt_idx", "activity")) == {("7", 7, 0, "a"), ("7", 7, 1, "b"), ("3", 3, 0, "a")}
+    assert rows(relations.directly_follows(plain)) == rows(relations.directly_follows(dense)) == {("log", "a", "b", 1)}
+
+
 def test_empty_and_single_cases(spark):
     empty = make_log(spark, ["a"]).where("false")
     assert eventlog.log_lengths(empty).count() == 0
