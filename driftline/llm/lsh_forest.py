@@ -224,8 +224,8 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     """A bit for each hash of `ids` (column `b`): FILTER_BITS / 8 bytes, whatever the number of ids."""
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     words = ids.groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
-    for batch in [words.toPandas()]:  # FILTER_BITS / 64 rows at most
-        bits[batch["w"].to_numpy(np.int64)] = batch["bits"].to_numpy(np.int64).view(np.uint64)
+    found = words.toArrow()  # FILTER_BITS / 64 rows at most
+    bits[found["w"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return bits
 
 
