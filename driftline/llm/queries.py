@@ -63,7 +63,7 @@ OP2_QUANTILE, OP2_SLACK = 0.995, 0.1
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity and threshold are both log10 for a token."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    scored = written(kneser_ney.perplexities(docs, kneser_ney.fit(docs, labels)), "perplexity")
+    scored = kneser_ney.perplexities(docs, kneser_ney.fit(docs, labels))
     out = kneser_ney.judge(scored, kneser_ney.thresholds(scored, labels, OP2_QUANTILE, OP2_SLACK))
     return out.select("doc_id", "lang", "n_tokens", F.round("log_ppl", 9).alias("log10_perplexity"), F.round("threshold", 9).alias("log10_threshold"), "kept")
 
