@@ -1,6 +1,6 @@
 """LM scoring: a hidden Markov language model, trained by Baum-Welch over all training text.
 
-Symbols are the `head` most frequent words (a fixed number), `TAIL` classes
+Symbols are the most frequent words (at most `head`), `TAIL` classes
 that share out all other words by hash, and the end of a text.  A word of a
 tail class has the class's emission times its own share of the class, from the
 counts of all words.  So the state tables have a fixed size, while the counts
@@ -15,7 +15,8 @@ scores every text by the scaled forward recursion; its words outside the head
 are joined with the counts, already grouped by word within a task, and added.
 The frequent words never take part in a shuffle.
 
-Words are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes.  A text of any length is one sequence;
+of a long one, forward values are kept at intervals and found again.
 
 Defined results: a null or empty text is its end alone; repeated rows are
 scored alike, one result each; a null doc_id has no remainder and is held out;
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import binary_chunks, drop_written, short_batches, written
+from .shared import binary_chunks, drop_written, most_frequent, short_batches, written
 
 #: The hash that stands for the end of a text in the count table.
 END = np.uint64(0x454E44)
@@ -44,6 +45,8 @@ TAIL = 1024
 CELLS = 1 << 20
 #: Symbols of encoded texts that a task of a round gathers before the recursion.
 HELD = 1 << 22
+#: Bytes of symbols a task of a round, about.
+ROUND_BYTES = 64 << 20
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -103,17 +106,17 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, head: int) -> Vocabulary:
     words = counts.where(F.col("word") != int(END))
-    top = words.orderBy(F.desc("c"), "word").limit(head).toPandas()  # `head` rows
-    known = top["word"].to_numpy(np.int64)
+    top = most_frequent(words, "c", head).orderBy(F.desc("c"), "word").toArrow()  # `head` rows at most
+    known = top["word"].to_numpy()
     total = counts.agg(F.sum("c"), F.count("*")).first()
     tail_tokens, tail_words = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)
     in_class = F.col("word").bitwiseAND(TAIL - 1)  # the unsigned remainder, as in `encode`: TAIL is a power of two
     for r in words.groupBy(in_class.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("w")).collect():  # TAIL rows
         tail_tokens[r.k], tail_words[r.k] = r.c, r.w
     top_class = (known.view(np.uint64) % np.uint64(TAIL)).astype(np.int64)
-    np.subtract.at(tail_tokens, top_class, top["c"].to_numpy(np.int64))
+    np.subtract.at(tail_tokens, top_class, top["c"].to_numpy())
     np.subtract.at(tail_words, top_class, 1)
-    return Vocabulary(known.view(np.uint64), top["c"].to_numpy(np.int64), tail_tokens, tail_words, total[0] or 0, total[1])
+    return Vocabulary(known.view(np.uint64), top["c"].to_numpy(), tail_tokens, tail_words, total[0] or 0, total[1])
 
 
 @dataclass
@@ -159,12 +162,58 @@ def forward(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray
     return out
 
 
+def _stretch(model: Model, symbols: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward values of a stretch of a text, and its emissions over the scales; before: the value ahead of it."""
+    ahead = np.take(model.emit, symbols, axis=0)
+    alpha = np.empty_like(ahead)
+    for t in range(len(symbols)):
+        a = np.multiply(model.start if before is None else before @ model.step, ahead[t], out=alpha[t])
+        c = a.sum()
+        a /= c
+        ahead[t] /= c
+        before = a
+    return alpha, ahead
+
+
+def _expected_long(model: Model, symbols: np.ndarray, starts: np.ndarray, steps: np.ndarray, emitted: np.ndarray) -> None:
+    """`expected` of one long text, added to the sums (steps before they are multiplied by the model's).
+
+    Forward values are kept at the beginnings of stretches of CELLS tokens, and
+    found again for a stretch on the way back: memory has the size of a stretch.
+    """
+    before: list[np.ndarray | None] = [None]
+    for i in range(0, len(symbols) - CELLS, CELLS):
+        before.append(_stretch(model, symbols[i : i + CELLS], before[-1])[0][-1].copy())
+    back, message = np.ascontiguousarray(model.step.T), None
+    for k in range(len(before) - 1, -1, -1):
+        own = symbols[k * CELLS : (k + 1) * CELLS]
+        alpha, later = _stretch(model, own, before[k])
+        for t in range(len(own) - 1, -1, -1):  # later[t] becomes what step t tells the one before
+            if message is not None:
+                later[t] *= message @ back
+            message, beyond = later[t], message
+            if t == len(own) - 1:
+                behind = beyond
+        following = later[1:] if behind is None else np.vstack([later[1:], behind])
+        m = len(following)
+        steps += alpha[:m].T @ following
+        alpha[:m] *= following @ back
+        message = message.copy()
+        if k == 0:
+            starts += alpha[0]
+        for s in range(len(model.start)):
+            emitted[:, s] += np.bincount(own, alpha[:, s], len(emitted))
+
+
 def expected(model: Model, symbols: np.ndarray, bounds: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Expected starts and steps; `emitted` [symbol, state] is added to."""
     states = len(model.start)
     starts, steps = np.zeros(states), np.zeros((states, states))
     back, ones = np.ascontiguousarray(model.step.T), np.ones(states, model.emit.dtype)
     for _, n, grid in _batches(symbols, bounds):
+        if len(grid) > CELLS:  # one text alone
+            _expected_long(model, grid[:, 0], starts, steps, emitted)
+            continue
         # all cells of active texts, time after time
         flat = grid[np.arange(len(grid))[:, None] < n]
         active = np.searchsorted(-n, -np.arange(len(grid)), side="left")
@@ -221,18 +270,6 @@ def random_tables(vocab: Vocabulary, states: int, seed: int) -> Model:
     return maximised(np.ones(states), np.ones((states, states)) + 4 * np.eye(states), prior[:, None] * noise * 1e4, prior, 1.0)
 
 
-def starting(texts: list[bytes], vocab: Vocabulary, model: Model, rounds: int) -> Model:
-    """Tables after `rounds` rounds on a few texts."""
-    prior = vocab.unigram()
-    t = tx.tokens(texts, lower=True)
-    symbols, bounds = _ended(t, vocab.encode(t.hashes), len(prior) - 1)
-    for _ in range(rounds):
-        emitted = np.zeros(model.emit.shape)
-        starts, steps = expected(model, symbols, bounds, emitted)
-        model = maximised(starts, steps, emitted, prior, 200.0)
-    return model
-
-
 def encoded(train: DataFrame, vocab: Vocabulary) -> DataFrame:
     """(symbols): those of each row of `train` (text) with its end, as the bytes of 32-bit integers."""
     shared = train.sparkSession.sparkContext.broadcast(vocab)
@@ -285,9 +322,9 @@ def baum_welch(train: DataFrame, vocab: Vocabulary, model: Model) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(states + 1)), *(pa.array(extra[:, k]) for k in range(states))], ["symbol", *names])
 
     # rounded to whole millionths: sums of integers do not depend on the order of tasks
-    sums = train.mapInArrow(run, "symbol long, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*(F.sum(F.round(F.col(n) * 1e6).cast("long")).alias(n) for n in names)).toPandas()  # a row for each symbol
+    sums = train.mapInArrow(run, "symbol long, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*(F.sum(F.round(F.col(n) * 1e6).cast("long")).alias(n) for n in names)).toArrow()  # a row for each symbol
     emitted, extra = np.zeros((n_symbols, states)), np.zeros((states + 1, states))
-    at, values = sums["symbol"].to_numpy(np.int64), sums[names].to_numpy(np.float64) / 1e6
+    at, values = sums["symbol"].to_numpy(), np.column_stack([sums[n].to_numpy() for n in names]) / 1e6
     emitted[at[at >= 0]] = values[at >= 0]
     extra[-1 - at[at < 0]] = values[at < 0]
     shared.unpersist()
@@ -352,12 +389,11 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model) -
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base_score") + gain - n * F.log10(F.lit(floor))).alias("base_score"), (F.col("score") + gain).alias("score"))
 
 
-def language_scores(docs: DataFrame, states: int = 8, head: int = 1 << 16, rounds: int = 13, sample: int = 0, sample_rounds: int = 12, seed: int = 3) -> DataFrame:
+def language_scores(docs: DataFrame, states: int = 8, head: int = 1 << 16, rounds: int = 13, seed: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of `docs`.
 
     Learns from rows whose crc32(doc_id as text) mod 5 is not 1, in `rounds`
-    rounds over all of them.  sample: texts of at most 20,000 bytes (those of
-    lowest hash of the id) for `sample_rounds` rounds before these; none here.
+    rounds over all of them.
     """
     short_batches(docs.sparkSession)
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -366,12 +402,11 @@ def language_scores(docs: DataFrame, states: int = 8, head: int = 1 << 16, round
     vocab = vocabulary(counts, head)
     model = random_tables(vocab, states, seed)
     if vocab.n:
-        if sample:
-            few = train.select("doc_id", "text").where(F.octet_length("text") <= 20000).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-            model = starting([(r.text or "").encode() for r in few], vocab, model, sample_rounds) if few else model
         texts = written(encoded(train, vocab), "symbols")
+        # a task's sums have the size of the tables, so there are few tasks but for the text they hold
+        rounds_over = texts.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-4 * vocab.n // ROUND_BYTES)))
         for _ in range(rounds):
-            model = baum_welch(texts, vocab, model)
+            model = baum_welch(rounds_over, vocab, model)
         drop_written(texts)
     out = score(docs, counts, vocab, model)
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
