@@ -1,13 +1,15 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 One pass over the texts finds the regions that may hold a licence header (lines
-around a trigger word with its paragraph, and whole texts of licence files) and
-counts in how many texts, of all, each term of the templates occurs.  A second
-pass, over the regions alone, compares every window of adjacent lines with a
-trigger word, its paragraph, the region and the whole licence file with every
-template (notices, standard headers, full licences) by the cosine of sparse
-TF-IDF vectors; an SPDX tag that names a template's licence counts as 1.  Terms that no template has count with the weight of a term
-never seen.  The best template over the threshold is the file's own licence.
+around a mark, with its paragraph, and whole texts of licence files) and counts
+in how many texts, of all, each term of the templates occurs.  A mark is a line
+with a trigger word, or with a part of `SEED` tokens in a row that some template
+has too.  A second pass, over the regions alone, compares every window of
+adjacent lines with a mark, its paragraph, the region and the whole licence
+file with every template (notices, standard headers, full licences, paragraphs
+of the short ones) by the cosine of sparse TF-IDF vectors; an SPDX tag that
+names a template's licence counts as 1.  Terms that no template has count with
+the weight of a term never seen.  The best template over the threshold is the file's own licence.
 
 Directories with a licence file have its licence.  Each directory of files is
 joined with its ancestors' paths, and the deepest one with a licence passes it
@@ -71,6 +73,23 @@ TEMPLATES = [
 ]
 
 
+#: Tokens in a row that mark a line where a template has them too.
+SEED = 5
+#: Licences of at most so many words also give their paragraphs as templates, those of `PARAGRAPH_WORDS` at least.
+SHORT_WORDS, PARAGRAPH_WORDS = 400, 15
+
+
+def paragraphs_of(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Paragraphs of short licences, which stand alone in many headers."""
+    short = [(name, text) for name, text in texts if len(text.split()) <= SHORT_WORDS]
+    return [(name, p) for name, text in short for p in re.split(r"\n\s*\n", text) if len(p.split()) >= PARAGRAPH_WORDS]
+
+
+def seeds_of(templates: list[tuple[str, str]]) -> tx.HashIndex:
+    t = tx.tokens([text.encode() for _, text in templates], tx.NOT_ALNUM, lower=True)
+    return tx.HashIndex(np.unique(tx.windows(t, SEED)[0]))
+
+
 def full_texts() -> list[tuple[str, str]]:
     """Whole licences, by the names of their files."""
     return [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))]
@@ -85,16 +104,36 @@ def _triggers(lines: list[bytes]) -> list[bool]:
     return [any(t in line for t in TRIGGERS) for line in (x.lower() for x in lines)]
 
 
-def regions(text: bytes, whole: bool) -> list[bytes]:
-    """Adjacent lines that may hold a header: those less than BLOCK from a trigger line, and its paragraph.  Of a licence file the whole text."""
+def _marked(text: bytes, lines: list[bytes], seeds: tx.HashIndex | None) -> np.ndarray:
+    """Whether each line of the text has a trigger word or part of a seed."""
+    out = np.array(_triggers(lines), bool)
+    if seeds is not None:
+        t = tx.tokens([text], tx.NOT_ALNUM, lower=True)
+        hashes, at = tx.windows(t, SEED)
+        hit = at[seeds.find(hashes) >= 0]
+        begins = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])])
+        first, last = (np.searchsorted(begins, x, side="right") - 1 for x in (t.starts[hit], t.starts[hit + SEED - 1]))
+        inside = np.zeros(len(lines) + 1, np.int64)
+        np.add.at(inside, first, 1)
+        np.add.at(inside, last + 1, -1)
+        out |= np.cumsum(inside[:-1]) > 0
+    return out
+
+
+def regions(text: bytes, whole: bool, seeds: tx.HashIndex | None = None) -> list[bytes]:
+    """Adjacent lines that may hold a header: those less than BLOCK from a marked line, and its paragraph.  Of a licence file the whole text.
+
+    seeds: of the templates; None where the text is known to have none.
+    """
     if whole:
         return [text] if text else []
-    low = text.lower()
-    if not any(t in low for t in TRIGGERS):
-        return []
+    if seeds is None:
+        low = text.lower()
+        if not any(t in low for t in TRIGGERS):
+            return []
     lines = text.split(b"\n")
     near = np.zeros(len(lines) + 1, np.int64)
-    hit = np.flatnonzero(_triggers(lines))
+    hit = np.flatnonzero(_marked(text, lines, seeds))
     np.add.at(near, np.maximum(hit - BLOCK + 1, 0), 1)
     np.add.at(near, np.minimum(hit + BLOCK, len(lines)), -1)
     for i, j in _paragraphs(lines):
@@ -121,6 +160,7 @@ class Matcher:
 
     def __init__(self, templates: list[tuple[str, str]], df: dict[int, int], n: int):
         self.unseen = np.log(n + 1.0) + 1
+        self.seeds = seeds_of(templates)
         self.idf = {h: np.log((n + 1.0) / (c + 1)) + 1 for h, c in df.items()}
         self.vectors = [(name, self.weighted(terms(text.encode()))) for name, text in sorted(templates)]
         #: of each term, its weight in each template, times that in a passage
@@ -132,7 +172,7 @@ class Matcher:
         return {h: x / norm for h, x in v.items()}
 
     def best(self, found: list[bytes], whole: bool = False) -> tuple[float, str | None]:
-        """Best cosine over all windows of at most BLOCK adjacent lines with a trigger word, paragraphs and regions that have one, and whole files."""
+        """Best cosine over all windows of at most BLOCK adjacent lines with a mark, paragraphs and regions that have one, and whole files."""
         top, name = 0.0, None
         names = [n for n, _ in self.vectors]
         if not names:
@@ -151,7 +191,7 @@ class Matcher:
                         offer(1.0, licence)
             lines = region.split(b"\n")
             counts = [terms(x) for x in lines]
-            marks = np.concatenate([[0], np.cumsum(_triggers(lines))])
+            marks = np.concatenate([[0], np.cumsum(_marked(region, lines, self.seeds))])
             dots = np.zeros((len(lines) + 1, len(names)))
             for i, c in enumerate(counts):
                 dots[i + 1] = dots[i]
@@ -190,13 +230,13 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, thres
     """
     spark = files.sparkSession
     short_batches(spark)
-    templates = TEMPLATES + full_texts() if templates is None else templates
+    templates = TEMPLATES + full_texts() + paragraphs_of(full_texts()) if templates is None else templates
     vocabulary = np.array(sorted({h for _, t in templates for h in terms(t.encode())}), np.uint64)
     kinds = "doc_id long, path string, passages array<binary>, term int, n long"
     names = ["doc_id", "path", "passages", "term", "n"]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, df = tx.HashIndex(vocabulary), np.zeros(len(vocabulary), np.int64)
+        index, df, seeds = tx.HashIndex(vocabulary), np.zeros(len(vocabulary), np.int64), seeds_of(templates)
         for batch in batches:
             paths = batch.column(1).to_pylist()
             for i, j, texts in binary_chunks(batch.column(2)):
@@ -204,7 +244,9 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, thres
                 at = index.find(t.hashes)
                 seen = np.unique(t.owners[at >= 0] * len(vocabulary) + at[at >= 0])
                 df += np.bincount(seen % max(len(vocabulary), 1), minlength=len(vocabulary))
-                found = [regions(x, is_licence_file(p)) for x, p in zip(texts, paths[i:j], strict=True)]
+                hashes, place = tx.windows(t, SEED)
+                seeded = set(t.owners[place[seeds.find(hashes) >= 0]].tolist())
+                found = [regions(x, is_licence_file(p), seeds if k in seeded else None) for k, (x, p) in enumerate(zip(texts, paths[i:j], strict=True))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(found, pa.list_(pa.binary())), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.int64())], names)
         hit = np.flatnonzero(df)
         none = pa.nulls(len(hit), pa.int64())
