@@ -7,7 +7,7 @@ next stage's documents.
 
 Defined results: null and empty texts, and those of fewer than ten words, go in
 the first stage; rows with a null or repeated doc_id are rows like any other in
-every stage; exact copies are near copies; of ties the first read stays; empty
+every stage; exact copies are near copies; of rows equal in id and text any one stays; empty
 tables of documents, labels or benchmark give empty results, no threshold and
 nothing to drop, in this order; other columns stay until the last stage.
 """
@@ -34,7 +34,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies, that of least doc_id, nulls last; of rows that repeat this id, the first read.
+    """Keeps one row of each group of near copies, that of least doc_id, nulls last; of rows that repeat this id, one.
 
     Rows are told apart by themselves, so that other texts with a repeated or missing doc_id stay.
     """
