@@ -40,7 +40,7 @@ count as rows of their own, and a null doc_id never names a component unless
 no row of it has an id; an empty table gives an empty result.  Other columns
 of the input are ignored by `near_duplicates`.  `keep_rows` keeps all columns and,
 of each component, the one row of least doc_id (null last), of rows with that
-id the first read; rows without words all stay.
+id the one whose text has the least hash; rows without words all stay.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -333,10 +333,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, orders: int
 def keep_rows(docs: DataFrame, k: int = 5, percent: int = 75, orders: int = 4, leaf: int = 256, piece_bytes: int = 16 << 20) -> DataFrame:
     """The rows of `docs`, all columns, but one row alone of each component.
 
-    Rows are told apart by a number that is written with them, not by doc_id, which may repeat or be missing.
+    Rows are told apart by doc_id and a hash of the text together, since ids may
+    repeat or be missing; of rows equal in both any one stays.
     """
     row = column_free_name(docs, "row")
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    rows, ids = _components(numbered.select(F.col(row).alias("row"), "doc_id", "text"), k, percent, orders, leaf, piece_bytes)
-    stay = ids.select(F.col("first.row").alias(row)).distinct().unionByName(rows.where("cls is null").select(F.col("row").alias(row)))
-    return numbered.join(stay, row, "left_semi").select(*docs.columns)
+    marked = docs.withColumn(row, F.xxhash64(F.col("text").cast("string")))
+    _, ids = _components(marked.select(F.col(row).alias("row"), "doc_id", "text"), k, percent, orders, leaf, piece_bytes)
+    stay = ids.select(F.col("first.row").alias(f"_{row}"), F.col("first.doc_id").alias(f"_{row}_id")).distinct()
+    worded = F.coalesce(F.col("text").cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    same = (F.col(row) == F.col(f"_{row}")) & F.col("doc_id").cast("long").eqNullSafe(F.col(f"_{row}_id"))
+    one = marked.where(worded).join(stay.hint("merge"), same, "left_semi")
+    place = F.row_number().over(Window.partitionBy(row, "doc_id").orderBy(row))
+    one = one.withColumn(f"_{row}_place", place).where(F.col(f"_{row}_place") == 1).select(*docs.columns)
+    return one.unionByName(docs.where(~worded))
