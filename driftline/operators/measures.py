@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +62,66 @@ def j_measure(events: DataFrame, pairs: DataFrame | None = None, l: int | None =
     return data.select("log_id", "case_idx", "a", "b", j.alias("value"))
 
 
+def _followed(case: np.ndarray, place: np.ndarray, codes: np.ndarray, k: int, l: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: E741
+    """pair (a * k + b), case, n_f of all cases where b follows an a within l events, by pair; events in order, codes under 0 are none."""
+    hits = []
+    for d in range(1, max(1, min(l, len(case)))):
+        i = np.flatnonzero((case[d:] == case[:-d]) & (place[d:] - place[:-d] < l) & (codes[d:] >= 0) & (codes[:-d] >= 0))
+        if not len(i):
+            break
+        hits.append(i * k + codes[i + d])
+    if not hits:
+        return (np.zeros(0, np.int64),) * 3
+    i, b = np.divmod(np.unique(np.concatenate(hits)), k)
+    n = int(case[-1]) + 1
+    key, count = np.unique((codes[i] * k + b) * n + case[i], return_counts=True)
+    return key // n, key % n, count
+
+
+def _window_counts(case: np.ndarray, place: np.ndarray, codes: np.ndarray, order: list[int], n: int, l: int) -> Iterator[np.ndarray]:  # noqa: E741
+    k = len(order)
+    pair, at, count = _followed(case, place, codes.astype(np.int64), k, l)
+    ends = np.searchsorted(pair, np.arange(k * k + 1))
+    for a in order:
+        for b in order:
+            i, j = ends[a * k + b], ends[a * k + b + 1]
+            if i < j:
+                x = np.zeros(n)
+                x[at[i:j]] = count[i:j]
+                yield x
+
+
+def _j_measures(case: np.ndarray, place: np.ndarray, codes: np.ndarray, order: list[int], n: int, l: int) -> Iterator[np.ndarray]:  # noqa: E741
+    k = len(order)
+    size = np.maximum(1, np.bincount(case, minlength=n))
+    pair, at, count = _followed(case, place, codes.astype(np.int64), k, l)
+    ends = np.searchsorted(pair, np.arange(k * k + 1))
+    number = {a: np.bincount(case[codes == a], minlength=n) for a in order}
+
+    def term(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out, some = np.zeros(len(x)), (x != 0) & (y != 0)
+        out[some] = x[some] * np.log2(x[some] / y[some])
+        return out
+
+    for a in order:
+        for b in order:
+            both = np.flatnonzero((number[a] > 0) & (number[b] > 0))
+            if not len(both):
+                continue
+            i, j = ends[a * k + b], ends[a * k + b + 1]
+            followed = np.zeros(n)
+            followed[at[i:j]] = count[i:j]
+            p, pb = followed[both] / number[a][both], number[b][both] / size[both]
+            x = np.zeros(n)
+            x[both] = np.round(number[a][both] / size[both] * (term(p, pb) + term(1 - p, 1 - pb)), 12)
+            yield x
+
+
+#: The measures of all pairs that occur in some cases, in memory: from case (from 0), place, code of each event in order, the codes
+#: in order of their names, the number of cases and l, the signal of a pair after another; pairs that are 0 in all cases may have none.
+IN_MEMORY = {"WC": _window_counts, "J": _j_measures}
+
+
 def service_times(events: DataFrame, bins: int = 3, sample_share: float = 0.2, seed: int = 0) -> DataFrame:
     """log_id, case_idx, evt_idx, activity, seconds, bin: events of an interval log with their service time's bin.
 

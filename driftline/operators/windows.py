@@ -9,6 +9,7 @@ has to pass through one task.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,6 +104,62 @@ def sliding_udf(series: DataFrame, w: int, step: int, test, chunk: int = CHUNK)
     return data.groupBy(*KEYS, "chunk").applyInPandas(run, "log_id string, series string, pos long, pval double")
 
 
+def _pieces(x: np.ndarray, starts: np.ndarray, w: int):
+    """x and the starts in pieces that have at most about 8w different values each."""
+    if len(starts) and len(x) > 8 * w and len(np.unique(x)) > 8 * w:
+        for i in range(0, int(starts[-1]) + 1, 6 * w):
+            own = starts[(starts >= i) & (starts < i + 6 * w)]
+            yield x[i : i + 8 * w], own - i
+    else:
+        yield x, starts
+
+
+def _counts(x: np.ndarray, starts: np.ndarray, w: int):
+    """c1, c2 at all starts, of one value of x after another, in order."""
+    _, codes = np.unique(x, return_inverse=True)
+    order = np.argsort(codes, kind="stable")
+    for hits in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+        sums = np.zeros(len(x) + 1, np.int64)
+        sums[hits + 1] = 1
+        sums = np.cumsum(sums)
+        low, middle, high = sums[starts], sums[starts + w], sums[starts + 2 * w]
+        yield middle - low, high - middle
+
+
+def ks_in_memory(x: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
+    """p of the windows [i, i + w) and [i + w, i + 2w) of x, at all starts i."""
+    out = []
+    for part, at in _pieces(x, starts, w):
+        difference, h = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for c1, c2 in _counts(part, at, w):
+            difference += c1 - c2
+            np.maximum(h, np.abs(difference), out=h)
+        out.append(h)
+    h = np.concatenate(out)
+    different, back = np.unique(h, return_inverse=True)
+    return np.array([stats.ks_equal(w, int(k)) for k in different], float)[back]
+
+
+def mw_in_memory(x: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
+    """The same of the Mann-Whitney test."""
+    if w <= 8:
+        return np.array([stats.mannwhitneyu(x[i : i + w], x[i + w : i + 2 * w]) for i in starts], float)
+    out = []
+    for part, at in _pieces(x, starts, w):
+        u, ties, below = (np.zeros(len(at)) for _ in range(3))
+        for c1, c2 in _counts(part, at, w):
+            u += c1 * (below + c2 / 2)
+            below += c2
+            t = (c1 + c2).astype(float)
+            ties += t * t * t - t
+        out.append(np.stack([u, ties]))
+    different, back = np.unique(np.concatenate(out, 1), axis=1, return_inverse=True)
+    return np.array([stats.mw_from_u(u, w, w, t) for u, t in different.T], float)[back.ravel()]
+
+
+IN_MEMORY = {"ks": ks_in_memory, "mw": mw_in_memory}
+
+
 def sliding_hotelling(series: DataFrame, w: int, step: int = 1) -> DataFrame:
     """log_id, pos, t2, pval over all series of a log together."""
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from helpers import make_log
+from pyspark.sql import functions as F
 
 from driftline import eventlog
 from driftline.functions import stats
@@ -66,6 +67,26 @@ def test_window_statistics_are_direct(spark):
     assert chunked == whole
 
 
+@pytest.mark.parametrize(("measure", "test", "w", "step"), [("WC", "ks", 10, 1), ("J", "ks", 10, 3), ("J", "mw", 10, 1), ("WC", "mw", 6, 7)])
+def test_mean_p_is_direct_over_chunks(spark, measure, test, w, step):
+    """Chunks of 25 cases against the tests on the signals of the whole log; an event without an activity is in no pair."""
+    rng = np.random.default_rng(4)
+    log = make_log(spark, ["".join(rng.choice(list("abc" if i < 50 else "bcd"), rng.integers(1, 8))) for i in range(93)])
+    log = log.withColumn("activity", F.when((F.col("case_idx") % 9 > 0) | (F.col("evt_idx") != 1), F.col("activity"))).cache()
+    got = detectors._mean_p(log, w, measure, test, step, 25).collect()
+    signals = detectors.signals(log, measure).where("series rlike '[a-d]>[a-d]'").toPandas()
+    x = signals.pivot(index="case_idx", columns="series", values="value").sort_index().to_numpy()
+    assert x.shape == (93, 16)
+    want = {i + w: np.mean([stats.TESTS[test](x[i : i + w, k], x[i + w : i + 2 * w, k]) for k in range(16)]) for i in range(0, 93 - 2 * w, step)}
+    assert {r["first"] + k * step: p for r in got for k, p in enumerate(r.p)} == pytest.approx(want)
+
+
+def test_many_values_are_counted_in_pieces():
+    x, starts, w = np.random.default_rng(5).random(300), np.arange(0, 280, 3), 10
+    for test, f in windows.IN_MEMORY.items():
+        assert f(x, starts, w) == pytest.approx([stats.TESTS[test](x[i : i + w], x[i + w : i + 2 * w]) for i in starts])
+
+
 @pytest.mark.parametrize(("n", "evaluated"), [(10, 0), (11, 1)])
 def test_last_window_is_not_evaluated(spark, n, evaluated):
     s = spark.createDataFrame([("l", "s", i, 1.0) for i in range(n)], "log_id string, series string, case_idx long, value double")
