@@ -184,6 +184,17 @@ def test_adaptive_detectors_find_a_swap(spark):
     assert points(detectors.adwin(log, 150, 200, 0.4, 10, "WC")) == []
 
 
+def test_bose_in_steps_is_valleys_of_its_series(spark):
+    rng = np.random.default_rng(7)
+    log = make_log(spark, ["".join(rng.choice(list("abc"), 5, p=p)) for p in ([0.8, 0.1, 0.1], [0.1, 0.8, 0.1]) for _ in range(200)]).cache()
+    for step in (5, 10):
+        p = [r.pval for r in detectors.bose_p(log, 100, "WC", "ks", step).orderBy("pos").collect()]
+        assert len(p) == len(range(0, 400 - 200, step))
+        assert points(detectors.bose(log, 100, "WC", "ks", step)) == [k * step + 100 for k in stats.peaks(-np.array(p), 80 / step, 0.1)]
+    assert near(points(detectors.bose(log, 100, "WC", "ks", 5)), 200, 40)
+    assert detectors.bose(log, 100, "WC", "ks", 5)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # with the facts of each log, no other
+
+
 def test_locate_change():
     x = np.array([0.0] * 30 + [1.0] * 50)
     p = lambda a, b, c: stats.ks_2samp(x[a:b], x[b:c])
