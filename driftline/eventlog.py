@@ -7,8 +7,11 @@ and start_ts.  Order is always explicit in case_idx and evt_idx.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, FractionalType, IntegralType, StringType, TimestampNTZType, TimestampType
@@ -103,3 +106,77 @@ def log_lengths(events: DataFrame) -> DataFrame:
     """Cases and events of each log."""
     per_case = events.groupBy("log_id", "case_idx").agg(F.count("*").alias("n"))
     return per_case.groupBy("log_id").agg(F.count("*").alias("n_cases"), F.sum("n").alias("n_events"))
+
+
+PACKED = "log_id string, chunk long, names array<string>, lengths binary, codes binary"
+#: Cases in a row of a packed log.
+PACK = 20_000
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest needs, and compressed."""
+    size = next(k for k in (1, 2, 4, 8) if x.max(initial=0) < 1 << (8 * k))
+    return bytes([size]) + zlib.compress(x.astype(f"u{size}").tobytes(), 1)
+
+
+def _spread(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), f"u{packed[0]}").astype(np.int64)
+
+
+def packed(events: DataFrame, chunk: int = PACK) -> DataFrame:
+    """log_id, chunk, names, lengths, codes: the traces of `chunk` cases in a row, events as places in the row's names.
+
+    For detectors that pass through a log in one task: a byte or two for an event.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        k = table["chunk"][0].as_py()
+        names = table["activity"].combine_chunks().dictionary_encode(null_encoding="encode")
+        case = table["case_idx"].to_numpy() - k * chunk
+        codes = names.indices.to_numpy()[np.lexsort((table["evt_idx"].to_numpy(), case))]
+        row = [table["log_id"][0].as_py(), k, names.dictionary.to_pylist(), _squeezed(np.bincount(case)), _squeezed(codes)]
+        return pa.table([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()), strict=True)], ["log_id", "chunk", "names", "lengths", "codes"])
+
+    data = events.select("log_id", "case_idx", "evt_idx", F.col("activity").cast("string").alias("activity"))
+    return data.withColumn("chunk", F.floor(F.col("case_idx") / chunk)).groupBy("log_id", "chunk").applyInArrow(run, PACKED)
+
+
+class Packed:
+    """One log of `packed`, unpacked a row at a time; some rows are held, the latest used.  Made for a way through the cases that seldom turns back."""
+
+    def __init__(self, table: pa.Table, chunk: int = PACK, held: int = 4):
+        self.table, self.chunk, self.most = table.sort_by("chunk"), chunk, held
+        self.at = {k: i for i, k in enumerate(self.table["chunk"].to_pylist())}
+        found = {x for names in self.table["names"].to_pylist() for x in names}
+        self.names = sorted(found - {None}) + [None] * (None in found)
+        self.numbers = {x: i for i, x in enumerate(self.names)}
+        last = max(self.at)
+        self.n = last * chunk + len(_spread(self.table["lengths"][self.at[last]].as_py()))
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def row(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each case of a row begins in its codes (and the end), and the codes, places in `names`."""
+        if k not in self.held:
+            if len(self.held) >= self.most:
+                del self.held[next(iter(self.held))]
+            lengths, codes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if k in self.at:
+                i = self.at[k]
+                lengths = _spread(self.table["lengths"][i].as_py())
+                own = np.array([self.numbers[x] for x in self.table["names"][i].as_py()], np.int64)
+                codes = own[_spread(self.table["codes"][i].as_py())]
+            full = np.zeros(min(self.chunk, self.n - k * self.chunk), np.int64)
+            full[: len(lengths)] = lengths
+            self.held[k] = np.concatenate([[0], np.cumsum(full)]), codes
+        return self.held[k]
+
+    def part(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of the cases from `low` to below `high`."""
+        begins, codes, size = [np.zeros(1, np.int64)], [], 0
+        for k in range(low // self.chunk, -(-high // self.chunk)):
+            b, c = self.row(k)
+            i, j = max(0, low - k * self.chunk), min(self.chunk, high - k * self.chunk)
+            begins.append(b[i + 1 : j + 1] - b[i] + size)
+            codes.append(c[b[i] : b[j]])
+            size += b[j] - b[i]
+        return np.concatenate(begins), np.concatenate([*codes, np.zeros(0, np.int64)])

@@ -195,6 +195,25 @@ def test_bose_in_steps_is_valleys_of_its_series(spark):
     assert detectors.bose(log, 100, "WC", "ks", 5)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # with the facts of each log, no other
 
 
+def test_packed_log_is_the_traces_and_pgm_its_points(spark):
+    rng = np.random.default_rng(8)
+    traces = ["".join(rng.choice(list("abcd"[: 3 + i // 150]), rng.integers(1, 7), p=None if i < 150 else [0.7, 0.1, 0.1, 0.1])) for i in range(300)]
+    rows = eventlog.packed(make_log(spark, traces), 40)
+    assert rows.count() == 8  # not a row for each case and item
+    log = eventlog.Packed(rows.toArrow(), 40, 2)
+    for low, high in ((0, 300), (35, 45), (40, 80), (79, 80), (300, 300), (0, 1)):
+        begins, codes = log.part(low, high)
+        assert ["".join(log.names[k] for k in codes[i:j]) for i, j in zip(begins[:-1], begins[1:], strict=True)] == traces[low:high]
+    nodes = np.array([[t.count(x) for x in "abcd"] for t in traces])
+    edges = np.array([[sum(t[i : i + 2] == x + y for i in range(len(t) - 1)) for x in "abcd" for y in "abcd"] for t in traces])
+    sums = [detectors.Table(np.concatenate([np.zeros((1, x.shape[1])), x.cumsum(0)])) for x in (edges, nodes)]
+    want = detectors.pgm_points(*sums, 40, 120, 0.05)
+    assert want and detectors.pgm_points(detectors.Counted(log, "e"), detectors.Counted(log, "v"), 40, 120, 0.05) == want
+    x, y = rng.integers(0, 9, (2, 50, 4))
+    both = [(a[(a > 0) & (b > 0)], b[(a > 0) & (b > 0)]) for a, b in zip(x, y, strict=True)]
+    assert detectors._chi2_shared(x, y) == pytest.approx([stats.chi2_contingency(a, b) if len(a) else 0.0 for a, b in both])
+
+
 def test_locate_change():
     x = np.array([0.0] * 30 + [1.0] * 50)
     p = lambda a, b, c: stats.ks_2samp(x[a:b], x[b:c])
