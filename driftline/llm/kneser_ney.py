@@ -1,8 +1,8 @@
 """Quality classifier: interpolated modified Kneser-Ney over words, perplexity thresholds by language.
 
 The model is of order 3 over words (A-Z lower-cased), with two marks before
-each text and an end behind it.  The trusted text is a bounded sample of the
-documents labelled good (`max_trusted`, those of lowest hash of their id).
+each text and an end behind it.  The trusted text is that of all documents
+labelled good, without those that set the thresholds.
 
 Training is counts and joins: trigrams are counted and dealt by themselves;
 continuation counts of bigrams and words, discounts and the weights of each
@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import binary_chunks, column_free_name, drop_written, most_frequent, of_lowest_hash, short_batches, written
+from .shared import binary_chunks, column_free_name, drop_written, most_frequent, short_batches, written
 
 #: Width of the buckets of log10 perplexity for the quantiles.
 STEP = 0.001
@@ -58,6 +58,8 @@ START, END = np.uint64(0x3C733E), np.uint64(0x3C2F733E)
 HEAD, FILTER_BITS = 1 << 20, 1 << 25
 #: Bytes of text whose n-grams a task holds at once, about.
 CHUNK = 1 << 20
+#: Ids of trusted documents that go to all tasks, at most; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 22
 #: Remainder (by 5) of the hash of the id of good documents that set the thresholds.
 CALIBRATION = 1
 
@@ -195,10 +197,11 @@ def good_documents(labels: DataFrame) -> DataFrame:
     return good.withColumn("calibrates", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == CALIBRATION)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = 2000) -> Language:
-    """From the texts of at most `max_trusted` good documents."""
-    ids = of_lowest_hash(good_documents(labels).where("not calibrates"), max_trusted, "doc_id")
-    return train(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"))  # max_trusted ids
+def fit(docs: DataFrame, labels: DataFrame) -> Language:
+    """From the texts of all good documents that do not set the thresholds."""
+    ids = good_documents(labels).where("not calibrates").select("doc_id")
+    few = ids.count() <= BROADCAST_IDS
+    return train(docs.select("doc_id", "text").join(ids.hint("broadcast" if few else "merge"), "doc_id", "left_semi"))
 
 
 def perplexities(docs: DataFrame, model: Language, key: str | None = None) -> DataFrame:

@@ -142,6 +142,17 @@ def test_kneser_ney_is_brute_force(spark, frame, monkeypatch, head):
         assert sum(p((u, v, w)) for w in words) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("most", [kneser_ney.BROADCAST_IDS, 10])
+def test_kneser_ney_learns_from_all_good_documents(spark, frame, monkeypatch, most):
+    """More of them than 2000, each with a word of its own; by a broadcast of their ids or by a shuffle."""
+    monkeypatch.setattr(kneser_ney, "BROADCAST_IDS", most)
+    labels = spark.range(3500).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    trusted = kneser_ney.good_documents(labels).where("not calibrates").count()
+    model = kneser_ney.fit(frame([(i, f"word{i}") for i in range(3600)]), labels)
+    assert trusted > 2500
+    assert model.shards.count() == 5 * trusted + 3  # "<s> <s> w", "<s> w </s>", "<s> w", "w </s>", w of each; the end, and one mark and two
+
+
 def test_classifier_keeps_prose_and_drops_noise(spark, frame):
     rng = random.Random(1)
     alphabets = {"en": ["the", "of", "water", "river", "light", "under", "green", "stone", "house"], "ru": ["и", "река", "вода", "свет", "дом", "камень", "под"]}
