@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -60,6 +61,38 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the files of finished shuffles go now, not when the driver happens to collect its garbage; a job in between, since the last one's are held."""
+    gc.collect()
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jvm.System.gc()
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers from 0 on, each in as few bytes an item as its greatest needs, byte by byte, compressed."""
+    parts, sizes = [], []
+    for a in arrays:
+        width = (int(a.max(initial=0)).bit_length() + 7) // 8
+        parts.append(a.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes())
+        sizes += [len(a), width]
+    data = b"".join(parts)
+    return np.array([len(arrays), *sizes], "<i8").tobytes() + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    """The arrays of `pack`, as uint64."""
+    n = int(np.frombuffer(blob, "<i8", 1)[0])
+    sizes = np.frombuffer(blob, "<i8", 2 * n, 8).reshape(n, 2)
+    data = np.frombuffer(pa.decompress(blob[8 + 16 * n :], int((sizes[:, 0] * sizes[:, 1]).sum()), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for length, width in sizes.tolist():
+        a = np.zeros((length, 8), np.uint8)
+        a[:, :width] = data[at : at + length * width].reshape(width, length).T
+        out.append(a.view("<u8").reshape(-1))
+        at += length * width
+    return out
+
+
 def of_lowest_hash(df: DataFrame, n: int, *columns: str) -> DataFrame:
     """At most `n` different rows of `columns`, those of lowest hash; repeated rows count once.
 

@@ -9,6 +9,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -153,6 +154,37 @@ def test_kneser_ney_learns_from_all_good_documents(spark, frame, monkeypatch, mo
     assert model.shards.count() == 5 * trusted + 3  # "<s> <s> w", "<s> w </s>", "<s> w", "w </s>", w of each; the end, and one mark and two
 
 
+def test_kneser_ney_scores_copies_alike_and_writes_little(spark, frame, monkeypatch):
+    """Copies of a text in other partitions; all that is written, in bytes for a different trigram."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(300)]
+    sizes, write = [], kneser_ney.written
+
+    def measured(df, what):
+        out = write(df, what)
+        sizes.append(sum(f.stat().st_size for f in Path(out._driftline_path.removeprefix("file://")).glob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(kneser_ney, "written", measured)
+    model = kneser_ney.train(frame(list(enumerate(texts[:250]))).select("text").repartition(3))
+    monkeypatch.setattr(kneser_ney, "HEAD", 12)
+    few = kneser_ney.train(frame(list(enumerate(texts[:250]))).select("text").repartition(3))
+    asked = [*enumerate(texts), *enumerate(texts[200:], 200), *enumerate(texts[200:], 200)]
+    scores = collections.defaultdict(set)
+    for m in (model, few):
+        for r in kneser_ney.perplexities(frame(asked).repartition(5), m).collect():
+            scores[r.doc_id].add(round(r.log_ppl, 9))
+    assert len(scores) == 300 and all(len(x) == 1 for x in scores.values())
+    values = {r.gram: r.value for r in model.shards.collect()}
+    for i in (0, 299):
+        s, _, _ = kneser_ney.sequences([texts[i].encode()])
+        grams = [kneser_ney.gram_hash(s[1:]), kneser_ney.gram_hash(s[:-1], s[1:]), kneser_ney.gram_hash(s[:-2], s[1:-1], s[2:])]
+        total = sum(values.get(int(g), 0.0) for g in np.concatenate(grams).view(np.int64)) + 201 * model.orders.unknown
+        assert scores[i] == {round(-total / 201, 9)}
+    assert sum(sizes) / 2 < 24 * 50_000
+
+
 def test_classifier_keeps_prose_and_drops_noise(spark, frame):
     rng = random.Random(1)
     alphabets = {"en": ["the", "of", "water", "river", "light", "under", "green", "stone", "house"], "ru": ["и", "река", "вода", "свет", "дом", "камень", "под"]}
