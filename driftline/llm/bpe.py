@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import short_batches
+from .shared import held, lean, short_batches
 
 #: Pre-tokens of at most so many characters are remembered, so many in each generation.
 REMEMBERED_LENGTH, REMEMBERED = 48, 150_000
@@ -214,21 +214,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(shared) -> Codec:
-    """The codec of this worker; it outlives tasks, and with it the pre-tokens remembered."""
-    if shared.id not in _codecs:
-        _codecs.clear()
-        _codecs[shared.id] = Codec(*shared.value)
-    return _codecs[shared.id]
+    """The codec of this worker; it outlives tasks, and with it the pre-tokens remembered, until another operator comes."""
+    return held(shared.id, lambda: Codec(*shared.value))
 
 
 class _Shared:
     def __init__(self, spark, ranks_path: str, pattern: str):
         self.held = spark.sparkContext.broadcast((read_ranks(ranks_path), pattern))
-        self.id = hash((ranks_path, pattern))
+        self.id = ("codec", ranks_path, pattern)
 
     @property
     def value(self):
@@ -276,4 +270,4 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, shared.id), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

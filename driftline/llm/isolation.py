@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import binary_chunks, of_lowest_hash, short_batches
+from .shared import binary_chunks, lean, make_room, of_lowest_hash, short_batches
 
 #: Characters counted as symbols (fixed by the contract).
 SYMBOLS = b"#*$%&|<>"
@@ -86,7 +86,7 @@ def rule_table(docs: DataFrame) -> DataFrame:
                 stats = rule_statistics(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(stats[s]) for s in STATISTICS)], ["doc_id", *STATISTICS])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SCHEMA)
 
 
 #: Shares of repeated lines and words that ordinary texts may have; what is beyond counts.
@@ -243,6 +243,7 @@ def keep_rows(docs: DataFrame, model: RuleModel) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def kept(column: pa.Array) -> pa.Array:
+        make_room()
         parts = [shared.value.verdict(rule_statistics(texts))[1] for _, _, texts in binary_chunks(column)]
         return pa.array(np.concatenate(parts) if parts else np.empty(0, bool))
 

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import binary_chunks, collect_garbage, column_free_name, drop_written, pack, short_batches, unpack, written
+from .shared import binary_chunks, collect_garbage, column_free_name, drop_written, held, lean, pack, short_batches, unpack, written
 
 #: Width of the buckets of log10 perplexity for the quantiles.
 STEP = 0.001
@@ -181,17 +181,23 @@ def count_trigrams(texts: DataFrame, n: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _by_shard(batches):
-            parts = [unpack(blob) for _, _, blob in rows]
-            lists = [np.cumsum(p[0]) for p in parts]
-            words = np.unique(np.concatenate(lists))
-            places = [np.searchsorted(words, x) for x in lists]
-            u, v, w = (np.concatenate([x[p[k].astype(np.int64)] for x, p in zip(places, parts, strict=True)]) for k in (1, 2, 3))
-            c = np.concatenate([p[4] for p in parts]).astype(np.int64)
+            # columns of places take 4 bytes an item, and are in memory once
+            parts = [[np.cumsum(deltas), *(x.astype(np.int32) for x in (u, v, w)), c.view(np.int64)] for deltas, u, v, w, c in (unpack(blob) for _, _, blob in rows)]
+            words = np.unique(np.concatenate([p[0] for p in parts]))
+            for p in parts:
+                place = np.searchsorted(words, p[0]).astype(np.int32)
+                p[1:4] = (place[x] for x in p[1:4])
+            columns = [np.concatenate([p.pop() for p in parts]) for _ in range(4)]
             del parts
-            order = np.lexsort((u, w, v))
-            u, v, w, c = u[order], v[order], w[order], c[order]
+            order = np.lexsort((columns[3], columns[1], columns[2]))
+            for k in range(4):
+                columns[k] = columns[k][order]
+            del order
+            c, w, v, u = columns
+            del columns
             first = _runs(u, v, w)
             u, v, w, c = u[first], v[first], w[first], np.add.reduceat(c, first)
+            del first
             two, continued = _continued(u, v, w, c, int(np.searchsorted(words, START)) if START in words else -1)
             followers, before = np.unique(w[two], return_counts=True)
             home = _home(words[followers], n)
@@ -201,8 +207,9 @@ def count_trigrams(texts: DataFrame, n: int) -> DataFrame:
             yield _packed([(TRIGRAMS, shard, 0, pack(_deltas(words), u, v, w, c)), (NUMBERS, shard, 0, pack(np.array([*_rare(c), *_rare(continued)])))])
             yield _packed([(FOLLOWERS, home[i], shard, pack(_deltas(followers[i:j]), before[i:j])) for i, j in zip(ends[:-1], ends[1:], strict=True)])
 
-    counted = texts.select(F.col("text").cast("string")).mapInArrow(count, PACKED)
-    return written(_dealt(counted, n).mapInArrow(merge, PACKED), "trigrams")
+    short_batches(texts.sparkSession)
+    counted = texts.select(F.col("text").cast("string")).mapInArrow(lean(count), PACKED)
+    return written(_dealt(counted, n).mapInArrow(lean(merge), PACKED), "trigrams")
 
 
 def _dealt(rows: DataFrame, n: int, slices: int = 1) -> DataFrame:
@@ -224,7 +231,7 @@ def count_words(trigrams: DataFrame, n: int) -> DataFrame:
             numbers = np.array([*_rare(counts), counts.sum(), len(counts)])
             yield _packed([(WORDS, shard, shard, pack(_deltas(words), counts)), (NUMBERS, shard, shard, pack(numbers, level, size)), *answers])
 
-    return written(_dealt(trigrams.where(f"kind = {FOLLOWERS}"), n).mapInArrow(merge, PACKED), "words")
+    return written(_dealt(trigrams.where(f"kind = {FOLLOWERS}"), n).mapInArrow(lean(merge), PACKED), "words")
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -245,15 +252,9 @@ def _cut(counts: np.ndarray, d: list[float]) -> np.ndarray:
     return np.asarray(d)[np.minimum(counts, 3) - 1]
 
 
-_held: dict[str, tx.HashIndex] = {}
-
-
 def _index(name: str, head: np.ndarray) -> tx.HashIndex:
-    """The index of a model's head; a worker builds it once."""
-    if name not in _held:
-        _held.clear()
-        _held[name] = tx.HashIndex(head)
-    return _held[name]
+    """The index of a model's head; a worker builds it once for a pass."""
+    return held(name, lambda: tx.HashIndex(head))
 
 
 @dataclass
@@ -286,7 +287,8 @@ class Shard:
             if kind == TRIGRAMS:
                 deltas, *columns = unpack(blob)
                 self.words = np.cumsum(deltas)
-                u, v, w, c = (x.astype(np.int64) for x in columns)
+                u, v, w, c = (x.view(np.int64) for x in columns)
+                del columns
             elif kind == WORDS:
                 deltas, counts = unpack(blob)
                 self.own, self.own_p1 = np.cumsum(deltas), orders.p1(counts.astype(np.int64))
@@ -309,6 +311,7 @@ class Shard:
             p1[followers[home == j]] = orders.p1(counts)
         # order 2: bigrams by their first word
         v2, w2 = v[two], w[two]
+        del w, followers, home, answers
         first = _runs(v2)
         total = np.add.reduceat(continued, first)
         rest2 = np.add.reduceat(_cut(continued, orders.cut[2]), first) / total
@@ -316,14 +319,26 @@ class Shard:
         p2 = (continued - _cut(continued, orders.cut[2])) / np.repeat(total, size) + np.repeat(rest2, size) * p1[w2]
         self.log_rest2[v2[first]] = np.log10(rest2)
         self.bigrams, self.log_p2, self.log_p1 = v2 * d + w2, np.log10(p2), np.log10(p1[w2])
+        del continued, v2, w2, p1, total, rest2, size
         # order 3: trigrams by their first two words
-        self.of_bigram = np.repeat(np.arange(len(two)), np.diff(two, append=len(u)))
-        self.trigrams = self.of_bigram * d + u
-        self.contexts, self.of_context = np.unique(v * d + u, return_inverse=True)
+        v *= d
+        v += u
+        self.contexts, of_context = np.unique(v, return_inverse=True)
+        del v
+        self.of_context = of_context.astype(np.int32)
+        del of_context
+        self.of_bigram = np.repeat(np.arange(len(two), dtype=np.int32), np.diff(two, append=len(u)))
+        self.trigrams = self.of_bigram * np.int64(d)
+        self.trigrams += u
+        del u
         total = np.bincount(self.of_context, c)
-        rest3 = np.bincount(self.of_context, _cut(c, orders.cut[3])) / total
+        cut = _cut(c, orders.cut[3])
+        rest3 = np.bincount(self.of_context, cut) / total
         self.log_rest3 = np.log10(rest3)
-        self.log_p3 = np.log10((c - _cut(c, orders.cut[3])) / total[self.of_context] + rest3[self.of_context] * p2[self.of_bigram])
+        p3 = (c - cut) / total[self.of_context]
+        del c, cut, total
+        p3 += rest3[self.of_context] * p2[self.of_bigram]
+        self.log_p3 = np.log10(p3, out=p3)
 
     @staticmethod
     def _find(table: np.ndarray, wanted: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -366,7 +381,7 @@ class Shard:
         yield gram_hash(self.words[v2], self.words[w2]), self.log_p2 - self.log_rest2[v2] - self.log_p1
         yield gram_hash(self.words[u], self.words[v]), self.log_rest3
         b = self.of_bigram
-        u = self.trigrams - b * self.size
+        u = self.trigrams - b * np.int64(self.size)
         yield gram_hash(self.words[u], self.words[v2[b]], self.words[w2[b]]), self.log_p3 - self.log_rest3[self.of_context] - self.log_p2[b]
 
 
@@ -392,7 +407,7 @@ class Language:
                 for gram, value in Shard(shard, rows, n, orders).values(orders.unknown):
                     yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(value)], ["gram", "value"])
 
-        return _dealt(self.packed, n).mapInArrow(run, "gram long, value double").groupBy("gram").agg(F.sum("value").alias("value"))
+        return _dealt(self.packed, n).mapInArrow(lean(run), "gram long, value double").groupBy("gram").agg(F.sum("value").alias("value"))
 
     def drop(self) -> None:
         """Delete its tables."""
@@ -434,7 +449,7 @@ def train(texts: DataFrame) -> Language:
 
     head, values = np.zeros(0, np.uint64), np.zeros(0)
     if least is not None:
-        top = words.where(f"kind = {WORDS}").select("blob").mapInArrow(frequent, "word long, c long").toArrow()  # HEAD rows at most
+        top = words.where(f"kind = {WORDS}").select("blob").mapInArrow(lean(frequent), "word long, c long").toArrow()  # HEAD rows at most
         head, values = top["word"].to_numpy().view(np.uint64), np.log10(orders.p1(top["c"].to_numpy())) - orders.unknown
     packed = trigrams.where(f"kind = {TRIGRAMS}").unionByName(words.where(f"kind in ({WORDS}, {ANSWERS})"))
     return Language(packed, n, orders, head, values, held == different, (trigrams, words))
@@ -461,13 +476,14 @@ def perplexities(docs: DataFrame, model: Language, key: str | None = None) -> Da
     spark = docs.sparkSession
     short_batches(spark)
     n, orders, unknown = model.n, model.orders, model.orders.unknown
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, model.head, model.values, model.complete))
+    name = uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast((model.head, model.values, model.complete))
     text = F.col("text").cast("string")
     texts = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows, with the sum over their words as if each stood alone; those not in the head are taken for unknown."""
-        name, head, value, _ = shared.value
+        head, value, _ = shared.value
         index, value = _index(name, head), np.append(value, 0.0)
         for batch in batches:
             for i, j, chunk in binary_chunks(batch.column(4), CHUNK):
@@ -480,7 +496,7 @@ def perplexities(docs: DataFrame, model: Language, key: str | None = None) -> Da
     def asking(part: int):
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """For each shard of the pass: ids of texts; text and words of trigrams; text and word where the word is not in the head."""
-            name, head, _, complete = shared.value
+            head, _, complete = shared.value
             index = _index(name, head)
             for batch in batches:
                 for i, j, chunk in binary_chunks(batch.column(1), PACK_CHUNK):
@@ -525,11 +541,11 @@ def perplexities(docs: DataFrame, model: Language, key: str | None = None) -> Da
                 row = next(rows, None)
 
     read = docs.select((F.lit(None).cast("long") if key is None else F.col(key)).alias("key"), F.xxhash64(text).alias("id"), F.col("doc_id").cast("long"), F.col("lang").cast("string"), text.alias("text"))
-    base = written(read.mapInArrow(begin, "key long, id long, doc_id long, lang string, n_tokens long, total double"), "alone")
+    base = written(read.mapInArrow(lean(begin, name), "key long, id long, doc_id long, lang string, n_tokens long, total double"), "alone")
     sums = []
     for part in range(SLICES):
-        rows = model.packed.where(F.col("shard") % SLICES == part).unionByName(texts.mapInArrow(asking(part), PACKED))
-        sums.append(written(_dealt(rows, n, SLICES).mapInArrow(answer, "id long, added double").groupBy("id").agg(F.sum("added").alias("added")), "added"))
+        rows = model.packed.where(F.col("shard") % SLICES == part).unionByName(texts.mapInArrow(lean(asking(part), name), PACKED))
+        sums.append(written(_dealt(rows, n, SLICES).mapInArrow(lean(answer), "id long, added double").groupBy("id").agg(F.sum("added").alias("added")), "added"))
         collect_garbage(spark)
     # each row of a text has asked for it
     copies = base.groupBy("id").agg(F.count("*").alias("copies"))

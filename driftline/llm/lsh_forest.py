@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .shared import binary_chunks, column_free_name, drop_written, grouped_stream, short_batches, written
+from .shared import binary_chunks, column_free_name, drop_written, grouped_stream, lean, short_batches, written
 
 PERMUTATIONS = 128
 TREES = 32
@@ -122,7 +122,7 @@ def _rows(docs: DataFrame, k: int) -> DataFrame:
                     ["row", "doc_id", "n_shingles", "cls", "sig"],
                 )
 
-    return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, n_shingles long, cls binary, sig binary")
+    return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "row long, doc_id long, n_shingles long, cls binary, sig binary")
 
 
 def _order_keys(classes: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _order_keys(classes: DataFrame) -> DataFrame:
                     rest = (rest << np.uint64(16)) | (rotated[:, d] & np.uint64(0xFFFF))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rest.view(np.int64)), batch.column(0), batch.column(2)], ["region", "rest", "cls", "weight"])
 
-    return classes.select("cls", "sig", "weight").mapInArrow(run, "region long, rest long, cls binary, weight long")
+    return classes.select("cls", "sig", "weight").mapInArrow(lean(run), "region long, rest long, cls binary, weight long")
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _members(classes: DataFrame) -> DataFrame:
             yield held
 
     order = ["region", "rest", "cls"]
-    return _order_keys(classes).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "region long, rest long, cls binary, weight long")
+    return _order_keys(classes).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(run), "region long, rest long, cls binary, weight long")
 
 
 def _once(tasks: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 sets = {class_of(s): s for s in shingle_sets(texts, k) if len(s)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["cls", "elems"])
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select(bit.cast("int").alias("b"), "text").mapInArrow(run, "cls binary, elems binary")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select(bit.cast("int").alias("b"), "text").mapInArrow(lean(run), "cls binary, elems binary")
     return found.join(members.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("elems").alias("elems"))
 
 

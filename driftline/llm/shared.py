@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to Python; texts may be long, so batches stay short.
-ARROW_ROWS = 2000
+#: Rows and bytes, about, of an Arrow batch handed to Python; texts may be long, so batches stay short.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
+
+T = TypeVar("T")
 
 _local_dir: str | None = None
 
@@ -126,6 +130,44 @@ def most_frequent(df: DataFrame, count: str, n: int) -> DataFrame:
 
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+_held: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], T]) -> T:
+    """What `make` gives, made once by a Python worker that goes on with the same operator; a worker holds one such thing."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Give what this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def make_room(key: Hashable = None) -> None:
+    """Let go what this worker `held` for another operator: all but `key`."""
+    if _held and key not in _held:
+        _held.clear()
+        release()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], key: Hashable = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, for Python workers, which stay for the next operators: with room made before it, and what it freed given back behind it."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(key)
+        yield from run(batches)
+        release()
+
+    return lean_run
 
 
 def column_free_name(df: DataFrame, name: str) -> str:
@@ -183,4 +225,4 @@ def grouped_stream(df: DataFrame, key: str, handle: Callable[[list[dict]], Itera
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow_schema)
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(lean(run), schema)

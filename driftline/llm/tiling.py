@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import binary_chunks, short_batches
+from .shared import binary_chunks, lean, make_room, short_batches
 
 SCHEMA = "doc_id long, item_id long, n_tiles long, covered long, item_tokens long, coverage double, longest long"
 
@@ -201,7 +201,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: f
                         types = [pa.int64()] * 5 + [pa.float64(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "item_id", "n_tiles", "covered", "item_tokens", "coverage", "longest"])
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA))
+        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SCHEMA))
     return out
 
 
@@ -217,6 +217,7 @@ def keep_rows(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold:
 def _clean(shared, least: int, threshold: float):
     @F.arrow_udf("boolean")
     def clean(column: pa.Array) -> pa.Array:
+        make_room()
         out = np.ones(len(column), bool)
         for i, _, texts in binary_chunks(column):
             for doc, _, _ in matches(texts, shared.value, least, threshold):

@@ -8,17 +8,19 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from edges import EDGES
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, components, histogram_sort, hmm, isolation, kneser_ney, license_scan, lsh_forest, tiling, url_gbt, warc_fixity
+from driftline.llm import bpe, components, histogram_sort, hmm, isolation, kneser_ney, license_scan, lsh_forest, shared, tiling, url_gbt, warc_fixity
 from driftline.llm import text as tx
 from driftline.llm.queries import OP10_RULES
 
@@ -257,6 +259,49 @@ def test_decontamination_catches_reordered_passages(spark, frame):
     assert tiling.overlaps(docs, bench.where("false")).count() == 0 and tiling.overlaps(docs.where("false"), bench).count() == 0
 
 
+def test_kneser_ney_shard_in_memory():
+    """A trigram costs a task 150 bytes at most while its shard is made."""
+    rng = np.random.default_rng(3)
+    m, d = 300_000, 60_000
+    words = np.sort(rng.choice(1 << 40, d, replace=False).astype(np.uint64))
+    u, v, w = np.unique(rng.zipf(1.3, (3, m)) % d, axis=1)
+    order = np.lexsort((u, w, v))
+    u, v, w = u[order], v[order], w[order]
+    blob = shared.pack(kneser_ney._deltas(words), u, v, w, rng.integers(1, 9, len(u)))
+    followers = len(np.unique(w))
+    rows = [(kneser_ney.TRIGRAMS, 0, blob), (kneser_ney.ANSWERS, 0, shared.pack(np.ones(followers, np.int64)))]
+    orders = kneser_ney.Orders({k: [0.5, 1.0, 1.5] for k in (1, 2, 3)}, 1e6, 1e-7)
+    tracemalloc.start()
+    try:
+        made = kneser_ney.Shard(0, iter(rows), 1, orders)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(made.trigrams) == len(u)
+    assert peak / len(u) < 150
+
+
+# --- memory of workers ------------------------------------------------------
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    shared.short_batches(spark)
+    found = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).cast("binary").alias("blob")).mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in found) == 300
+    assert max(r.bytes for r in found) < shared.ARROW_BYTES + 200_000
+
+
+def test_workers_let_go_what_another_operator_held():
+    make = iter(range(9)).__next__
+    assert [shared.held("a", make), shared.held("a", make), shared.held("b", make), shared.held("a", make)] == [0, 0, 1, 2]
+    assert list(shared.lean(iter, "a")([5, 6])) == [5, 6] and shared._held == {"a": 2}
+    assert list(shared.lean(iter)([7])) == [7] and not shared._held
+
+
 # --- 4 ----------------------------------------------------------------------
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
