@@ -65,8 +65,8 @@ def from_table(df: DataFrame, case: str, activity: Column | str, order_by: Seque
     keys = list(case_order or [case])
     cases = numbered(df.groupBy(case).agg(*(F.min(k).alias(k) for k in keys if k != case), F.count("*").alias("_n")).drop("_n").withColumn("log_id", F.lit(log_id)), ["log_id"], [*keys, *([case] if case not in keys else [])], "case_idx")
     extra = [F.col(c).cast("timestamp").alias(n) for c, n in ((ts, "ts"), (start_ts, "start_ts")) if c]
-    place = F.row_number().over(Window.partitionBy(case).orderBy(*order_by)) - 1
-    flat = df.select(F.col(case).alias("_case"), place.cast("long").alias("evt_idx"), activity.alias("activity"), *extra)
+    place = F.row_number().over(Window.partitionBy("_case").orderBy(*order_by)) - 1  # by the column of the join, which then needs no other shuffle
+    flat = df.withColumn("_case", F.col(case)).select("_case", place.cast("long").alias("evt_idx"), activity.alias("activity"), *extra)
     out = flat.join(cases.select(F.col(case).alias("_case"), "log_id", "case_idx"), "_case")
     return out.select("log_id", F.col("_case").cast("string").alias("case_id"), "case_idx", "evt_idx", "activity", *(n for c, n in ((ts, "ts"), (start_ts, "start_ts")) if c))
 
@@ -113,13 +113,13 @@ PACKED = "log_id string, chunk long, names array<string>, lengths binary, codes
 PACK = 20_000
 
 
-def _squeezed(x: np.ndarray) -> bytes:
+def squeezed(x: np.ndarray) -> bytes:
     """Whole numbers from 0 on in as few bytes each as the largest needs, and compressed."""
     size = next(k for k in (1, 2, 4, 8) if x.max(initial=0) < 1 << (8 * k))
     return bytes([size]) + zlib.compress(x.astype(f"u{size}").tobytes(), 1)
 
 
-def _spread(packed: bytes) -> np.ndarray:
+def spread(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed[1:]), f"u{packed[0]}").astype(np.int64)
 
 
@@ -134,7 +134,7 @@ def packed(events: DataFrame, chunk: int = PACK) -> DataFrame:
         names = table["activity"].combine_chunks().dictionary_encode(null_encoding="encode")
         case = table["case_idx"].to_numpy() - k * chunk
         codes = names.indices.to_numpy()[np.lexsort((table["evt_idx"].to_numpy(), case))]
-        row = [table["log_id"][0].as_py(), k, names.dictionary.to_pylist(), _squeezed(np.bincount(case)), _squeezed(codes)]
+        row = [table["log_id"][0].as_py(), k, names.dictionary.to_pylist(), squeezed(np.bincount(case)), squeezed(codes)]
         return pa.table([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()), strict=True)], ["log_id", "chunk", "names", "lengths", "codes"])
 
     data = events.select("log_id", "case_idx", "evt_idx", F.col("activity").cast("string").alias("activity"))
@@ -151,7 +151,7 @@ class Packed:
         self.names = sorted(found - {None}) + [None] * (None in found)
         self.numbers = {x: i for i, x in enumerate(self.names)}
         last = max(self.at)
-        self.n = last * chunk + len(_spread(self.table["lengths"][self.at[last]].as_py()))
+        self.n = last * chunk + len(spread(self.table["lengths"][self.at[last]].as_py()))
         self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def row(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +162,9 @@ class Packed:
             lengths, codes = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if k in self.at:
                 i = self.at[k]
-                lengths = _spread(self.table["lengths"][i].as_py())
+                lengths = spread(self.table["lengths"][i].as_py())
                 own = np.array([self.numbers[x] for x in self.table["names"][i].as_py()], np.int64)
-                codes = own[_spread(self.table["codes"][i].as_py())]
+                codes = own[spread(self.table["codes"][i].as_py())]
             full = np.zeros(min(self.chunk, self.n - k * self.chunk), np.int64)
             full[: len(lengths)] = lengths
             self.held[k] = np.concatenate([[0], np.cumsum(full)]), codes

@@ -31,9 +31,9 @@ def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.from_table(t, "conv_id", "role", ["turn"], "chat")
 
 
-def _drifting(e: DataFrame, x: str, y: str, z: str) -> DataFrame:
-    """A whole log in which, from half of its cases on, y is called z and x is called y."""
-    n = eventlog.log_lengths(e).select("log_id", F.col("n_cases").alias("n"))
+def _drifting(e: DataFrame, log_id: str, cases: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """A whole log in which, from half of its cases on, y is called z and x is called y.  cases: the case key of each event in its table."""
+    n = cases.distinct().agg(F.count(cases.columns[0]).alias("n")).select(F.lit(log_id).alias("log_id"), "n")
     late = F.col("case_idx") >= F.col("n") / 2
     renamed = F.when(F.col("activity") == x, y).when(F.col("activity") == y, z).otherwise(F.col("activity"))
     return e.join(F.broadcast(n), "log_id").withColumn("activity", F.when(late, renamed).otherwise(F.col("activity"))).select(*e.columns)
@@ -41,17 +41,17 @@ def _drifting(e: DataFrame, x: str, y: str, z: str) -> DataFrame:
 
 def drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole order log with a drift in the middle."""
-    return _drifting(order_log(spark, sf_dir), "AF", "NO", "XO")
+    return _drifting(order_log(spark, sf_dir), "order", spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey"), "AF", "NO", "XO")
 
 
 def user_drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole user log with a drift in the middle."""
-    return _drifting(user_log(spark, sf_dir), "click", "view", "scroll")
+    return _drifting(user_log(spark, sf_dir), "user", spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id"), "click", "view", "scroll")
 
 
 def chat_drift_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chat log with a drift in the middle."""
-    return _drifting(chat_log(spark, sf_dir), "user", "assistant", "tool")
+    return _drifting(chat_log(spark, sf_dir), "chat", spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id"), "user", "assistant", "tool")
 
 
 def choice_log(spark: SparkSession) -> DataFrame:

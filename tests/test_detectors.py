@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -81,6 +83,27 @@ def test_mean_p_is_direct_over_chunks(spark, measure, test, w, step):
     assert {r["first"] + k * step: p for r in got for k, p in enumerate(r.p)} == pytest.approx(want)
 
 
+def test_mean_p_goes_by_places_with_gaps(spark):
+    """Events two places apart are in no window of two, whether others stand between them or not."""
+    rng = np.random.default_rng(11)
+    log = make_log(spark, ["".join(rng.choice(list("abc"), rng.integers(1, 5))) for i in range(61)]).withColumn("evt_idx", F.col("evt_idx") * 2 + F.col("case_idx") % 2).cache()
+    got = {r["first"] + k: p for r in detectors._mean_p(log, 8, "WC", "ks", 1, 20).collect() for k, p in enumerate(r.p)}
+    x = detectors.signals(log, "WC").toPandas().pivot(index="case_idx", columns="series", values="value").sort_index().to_numpy()
+    assert got == pytest.approx({i + 8: np.mean([stats.ks_2samp(x[i : i + 8, k], x[i + 8 : i + 16, k]) for k in range(9)]) for i in range(61 - 16)})
+
+
+def test_bose_makes_its_events_once(spark):
+    """The events are joined with their cases, and shuffled to the slices, once in the plan that ran."""
+    rows = [(i, j, "abc"[(i * j + i // 40) % 3]) for i in range(90) for j in range(4)]
+    table = spark.createDataFrame(rows, "k long, j long, a string")
+    log = catalogue._drifting(eventlog.from_table(table, "k", "a", ["j"], "made"), "made", table.select("k"), "a", "b", "c")
+    assert log.where("case_idx < 45 and evt_idx = 0 and activity = 'c'").count() == sum((i // 40) % 3 == 2 for i in range(45))
+    found = detectors.bose(log, 10, "WC", "ks", 5)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Join \[_case#", plan)) == 1
+
+
 def test_many_values_are_counted_in_pieces():
     x, starts, w = np.random.default_rng(5).random(300), np.arange(0, 280, 3), 10
     for test, f in windows.IN_MEMORY.items():
