@@ -545,7 +545,7 @@ def perplexities(docs: DataFrame, model: Language, key: str | None = None) -> Da
     sums = []
     for part in range(SLICES):
         rows = model.packed.where(F.col("shard") % SLICES == part).unionByName(texts.mapInArrow(lean(asking(part), name), PACKED))
-        sums.append(written(_dealt(rows, n, SLICES).mapInArrow(lean(answer), "id long, added double").groupBy("id").agg(F.sum("added").alias("added")), "added"))
+        sums.append(written(_dealt(rows, n, SLICES).mapInArrow(lean(answer, name), "id long, added double").groupBy("id").agg(F.sum("added").alias("added")), "added"))
         collect_garbage(spark)
     # each row of a text has asked for it
     copies = base.groupBy("id").agg(F.count("*").alias("copies"))
